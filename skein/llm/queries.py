@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, decontaminate, lines, nbsvm, ordermin, simhash, toxicity, wordcount
+from skein.llm import bpe, decontaminate, lines, nbsvm, ordermin, simhash, toxicity, warc, wordcount
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_order_minhash": op2_order_minhash,
         "op3_quality": op3_quality,
+        "op4_warc": op4_warc,
         "op5_decontaminate": op5_decontaminate,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_token_counts": op7_token_counts,
@@ -65,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op9_line_dedup": lines.ORACLE}
