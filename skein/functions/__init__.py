@@ -1 +1 @@
-"""Part of skein."""
+"""Column expressions: text, identifiers and vectors. All of them stay in the JVM."""

@@ -1 +1 @@
-"""Part of skein."""
+"""Operators over DataFrames of nodes, edges, chunks, vectors and logs."""

@@ -1 +1 @@
-"""Part of skein."""
+"""The registered queries: operators applied to the tables, each with its SQL."""
