@@ -60,7 +60,7 @@ def shortest_paths(t: Tables) -> DataFrame:
     return gr.shortest_paths(edges.where("type = 'IN_NATION'"), ends(t.supplier, "supplier", "s_suppkey"), ends(t.customer, "customer", "c_custkey"), 2)
 
 
-@query(f"WITH {EDGES} SELECT DISTINCT type FROM steps WHERE "at" IN ('nation:1', 'order:1')")
+@query(f"""WITH {EDGES} SELECT DISTINCT type FROM steps WHERE "at" IN ('nation:1', 'order:1')""")
 def edge_types_at_seeds(t: Tables) -> DataFrame:
     return gr.edge_types_at(_edges(t), _ids(t, "nation:1", "order:1"))
 
