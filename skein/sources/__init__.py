@@ -1 +1 @@
-"""Part of skein."""
+"""Readers that turn files into documents."""

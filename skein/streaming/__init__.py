@@ -1 +1 @@
-"""Part of skein."""
+"""Streaming forms of the logs."""
