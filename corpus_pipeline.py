@@ -32,19 +32,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.where("n_removed = 0 or trim(text) != ''").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key that also tells rows without id, and texts under one id, apart."""
+    return docs.select(*COLUMNS).withColumns({"__id": F.coalesce("doc_id", F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id. Rows without id stay."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component").select("doc_id").distinct()
-    named = docs.select(*COLUMNS)
-    return named.join(kept, "doc_id", "left_semi").unionByName(named.where("doc_id is null"))
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id (null is smallest), of its texts the one of smaller hash; rows that repeat stay once."""
+    keyed = _keyed(docs)
+    groups = simhash.near_duplicates(keyed.select(F.struct("__id", "__th").alias("doc_id"), "text"))
+    kept = groups.where("doc_id = component").select("doc_id.*").distinct()
+    return keyed.join(kept, ["__id", "__th"]).dropDuplicates(["__id", "__th"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti")
+    keyed = _keyed(docs)
+    found = decontaminate.decontaminate(keyed.select(F.concat_ws(":", "__id", "__th").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.withColumn("__key", F.concat_ws(":", "__id", "__th")).join(hit, "__key", "left_anti").select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
