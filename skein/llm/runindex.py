@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Powers, flat, mix, pieces, utf8, written
+from skein.llm.common import Powers, flat, mix, pieces, written
 
 LENGTH, GRAM = 400, 32
 HOT = 500
@@ -75,6 +76,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return clean.select("dk", F.xxhash64("text").alias("th"), "text")
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """(dk, th, packed): each text compressed, for texts are shuffled whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch, column in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t) for t in column.to_pylist()], pa.binary())], names=["dk", "th", "packed"])
+
+    return texts.mapInArrow(run, "dk long, th long, packed binary")
+
+
 def records(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(anchor, content, dk, th, first, last, n): the records of each row; n equal ones that follow each other make one row."""
 
@@ -105,13 +117,14 @@ def records(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 def _cut(members: DataFrame, texts: DataFrame, single_strings: bool, length: int) -> DataFrame:
     """The members' bytes out of their texts; single_strings: the hash of each of their strings."""
     wanted = members.groupBy("dk", "th").agg(F.collect_list(F.struct("anchor", "first", "last", "once")).alias("parts"))  # a document's own
-    joined = texts.join(wanted, ["dk", "th"])
+    joined = packed(texts).join(wanted, ["dk", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                column = utf8(batch.column(2)).to_pylist()
+                column = map(unpack, batch.column(2).to_pylist())
                 out: list[tuple] = []
                 for text, dk, th, parts in zip(column, batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                     for p in parts:
@@ -123,7 +136,7 @@ def _cut(members: DataFrame, texts: DataFrame, single_strings: bool, length: int
                     c = list(zip(*out[k : k + 20_000]))
                     yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.bool_()), pa.array(c[5], pa.binary())], names=["anchor", "dk", "th", "first", "once", "bytes"])
 
-    return joined.select("dk", "th", "text", "parts").mapInArrow(run, "anchor long, dk long, th long, first long, once boolean, bytes binary")
+    return joined.select("dk", "th", "packed", "parts").mapInArrow(run, "anchor long, dk long, th long, first long, once boolean, bytes binary")
 
 
 class RunIndex:
@@ -277,12 +290,13 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = keyed(docs)
     marks = written(repeats(texts, length), "marks")
     marks = marks.groupBy("dk", "th").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # a document's own
-    joined = texts.join(marks, ["dk", "th"], "left").select("dk", "text", "ranges")
+    joined = packed(texts).join(marks, ["dk", "th"], "left").select("dk", "packed", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, column in pieces(batches, size=4_000_000):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch, column in pieces(batches, "packed", 1_000_000):
             out = []
-            for text, ranges in zip(column.to_pylist(), batch.column(2).to_pylist()):
+            for text, ranges in zip(map(unpack, column.to_pylist()), batch.column(2).to_pylist()):
                 if not ranges:
                     out.append((len(text), 0, 0, text))
                     continue
