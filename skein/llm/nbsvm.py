@@ -137,6 +137,8 @@ def model(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound:
         yield pa.RecordBatch.from_arrays([pa.array([ratios.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary()), pa.array([bias]), pa.array([slope]), pa.array([float(shift)])], names=["ratios", "weights", "bias", "slope", "shift"])
 
     got = labelled(docs, labels, label, learn, bound).repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "y").mapInArrow(run, _MODEL).first()
+    if got is None:  # no labelled row at all
+        return train([], np.zeros(0, np.int64))
     return np.frombuffer(got[0], np.float32), np.frombuffer(got[1], np.float32), got[2], got[3], got[4]
 
 

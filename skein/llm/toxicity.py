@@ -156,6 +156,8 @@ def model(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[bytes, byt
 
     rows = labelled(docs, labels.where("toxic = 1"), "toxic", learn, TRAIN_TOXIC).union(labelled(docs, labels.where("toxic = 0"), "toxic", learn, TRAIN_ORDINARY))
     got = rows.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "y").mapInArrow(run, _MODEL).first()
+    if got is None:  # no labelled row at all
+        return fit([], np.zeros(0, np.int64))
     return bytes(got[0]), bytes(got[1]), got[2], list(got[3])
 
 
