@@ -12,18 +12,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BYTES = 32 * 1024 * 1024
 COLUMNS = ["source", "record", "title", "text", "source_hash", "content_hash", "error"]
 FORMATS = {"txt": "text", "log": "text", "md": "text", "adoc": "text", "csv": "csv", "tsv": "csv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "xml": "xml", "html": "html", "htm": "html", "chat": "chat"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("struct<text:string,encoding:string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
 def _decoded(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_decode(x) for x in raw], columns=["text", "encoding"])
 
