@@ -134,3 +134,16 @@ def test_rerank_keeps_tail(spark):
     hits = spark.createDataFrame([(1, k, k) for k in range(1, 6)], "query_id int, id int, rank int")
     got = {r["id"]: r["new_rank"] for r in se.rerank(hits, F.col("id"), 3).collect()}
     assert got == {3: 1, 2: 2, 1: 3, 4: 4, 5: 5}
+
+
+def test_assignment(spark):
+    from itertools import permutations
+
+    from skein.operators import reports as rp
+
+    cost = [[4.0, 1.0, 3.0], [2.0, 0.0, 5.0], [3.0, 2.0, 2.0]]
+    best = min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(3)))
+    assert sum(cost[i][j] for i, j in enumerate(rp.hungarian(cost))) == best
+    rows = spark.createDataFrame([("k", 1, 1, 9.0), ("k", 1, 2, 5.0), ("k", 2, 1, 4.0), ("m", 1, 1, 1.0)], "case string, gold int, found int, overlap double")
+    got = sorted(tuple(r) for r in rp.assign(rows, "case").collect())
+    assert got == [("k", 1, 2, 5.0), ("k", 2, 1, 4.0), ("m", 1, 1, 1.0)]
