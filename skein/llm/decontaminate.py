@@ -159,3 +159,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     return decontaminate(docs, items).selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as bigint) as n_items", "sha2(concat_ws(',', items), 256) as items_sha256", "n_hit > 0 as contaminated")
+
+
+ORACLE = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+it AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, size, array_to_string(w[k + 1 : k + size], ' ') AS t FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(len(w) - least(10, len(w)) + 1)) AS k FROM it WHERE len(w) > 0) x),
+pos AS (SELECT doc_id, size, k, array_to_string(w[k + 1 : k + size], ' ') AS t FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS k FROM low, (SELECT DISTINCT size FROM win) s) x),
+hit AS (SELECT doc_id, item_id, pos.size, k FROM pos JOIN win USING (size, t)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) x GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) x GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM low LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""

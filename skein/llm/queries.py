@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op9_line_dedup": lines.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_suffix_dedup": runindex.ORACLE, "op9_line_dedup": lines.ORACLE}

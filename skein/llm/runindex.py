@@ -315,3 +315,19 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: In SQL: every string is taken, by its MD5 hash.
+ORACLE = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, j, md5(b[j + 1 : j + 400]) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 399)) AS j FROM b) x),
+d AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+m AS (SELECT doc_id, j, CASE WHEN j - lag(j) OVER (PARTITION BY doc_id ORDER BY j) <= 400 THEN 0 ELSE 1 END AS fresh FROM h SEMI JOIN d USING (h)),
+r AS (SELECT doc_id, sum(fresh) OVER (PARTITION BY doc_id ORDER BY j) AS run, j FROM m),
+s AS (SELECT doc_id, run, min(j) AS a, max(j) + 400 AS e FROM r GROUP BY ALL),
+k AS (SELECT doc_id, count(*) AS n, sum(e - a) AS gone, list(a ORDER BY a) AS starts, list(e ORDER BY a) AS ends FROM s GROUP BY doc_id),
+q AS (SELECT doc_id, b, coalesce(n, 0) AS n, coalesce(gone, 0) AS gone, list_concat(coalesce(starts, []), [octet_length(b)]) AS starts, list_concat([0], coalesce(ends, [])) AS ends FROM b LEFT JOIN k USING (doc_id)),
+p AS (SELECT doc_id, unnest(range(len(starts))) AS i, b, starts, ends FROM q),
+z AS (SELECT doc_id, list(hex(b[ends[i + 1] + 1 : starts[i + 1]]) ORDER BY i) AS parts FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, n AS n_spans, sha256(unhex(array_to_string(parts, ''))) AS kept_sha256 FROM q JOIN z USING (doc_id)
+"""
