@@ -111,8 +111,10 @@ def digest(docs: DataFrame) -> DataFrame:
     clean = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("dk"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = clean.withColumn("th", F.xxhash64("text"))
     pairs = followers(keyed.selectExpr("dk", "th", "cast(length(text) div 4 as int) as cut").distinct())
-    texts = keyed.withColumn("own", signature(F.col("text")))
-    pieces = texts.selectExpr("dk as next_dk", "th as next_th", "text", "own").join(pairs, ["next_dk", "next_th"]).selectExpr("dk", "th", "substring(text, 1, cut) as piece", "own as following")
+    # both joins read the same columns of texts under the same names, so they share one shuffle of them
+    texts = keyed.select("dk", "th", "text", signature(F.col("text")).alias("own"))
+    before = pairs.selectExpr("dk as before_dk", "th as before_th", "cut", "next_dk as dk", "next_th as th")
+    pieces = texts.join(before, ["dk", "th"]).selectExpr("before_dk as dk", "before_th as th", "substring(text, 1, cut) as piece", "own as following")
     pieces = pieces.groupBy("dk", "th").agg(F.first("piece").alias("piece"), F.first("following").alias("following"))
     edited = texts.join(pieces, ["dk", "th"]).withColumn("edited", F.expr("concat(substring(text, 1, length(text) - cast(length(text) div 4 as int)), piece)"))
     signed = edited.selectExpr("dk", "cast(length(text) as bigint) as n_chars", "sha2(edited, 256) as edited_sha256", "own", "following", "edited").withColumn("changed", signature(F.col("edited")))
