@@ -62,7 +62,7 @@ def means(scores: DataFrame, group: str, metric: str, value: str) -> DataFrame:
     """Means of each metric overall (group null) and by group, clamped to 0..1."""
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value)))
     rows = scores.select(F.col(group).alias("grp"), F.col(metric).alias("metric"), clamped.alias("v"))
-    return rows.groupingSets([[F.col("metric")], [F.col("metric"), F.col("grp")]], "metric", "grp").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("n"))
+    return rows.groupingSets([[F.col("metric")], [F.col("metric"), F.col("grp")]], "metric", "grp").agg(F.round(F.avg("v"), 12).alias("mean"), F.count("*").alias("n"))
 
 
 def span_overlap(gold: DataFrame, found: DataFrame, case: str = "case") -> DataFrame:

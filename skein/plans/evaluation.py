@@ -60,7 +60,7 @@ def pairwise_scores(t: Tables) -> DataFrame:
     return ev.pairwise(*_clusters(t))
 
 
-@query("""SELECT event_type AS metric, CAST(NULL AS BIGINT) AS grp, round(avg(greatest(0, least(1, value / 100))), 6) AS mean, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT event_type, user_id, round(avg(greatest(0, least(1, value / 100))), 6), count(*) FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type AS metric, CAST(NULL AS BIGINT) AS grp, round(avg(greatest(0, least(1, value / 100))), 12) AS mean, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT event_type, user_id, round(avg(greatest(0, least(1, value / 100))), 12), count(*) FROM events GROUP BY 1, 2""")
 def metric_means(t: Tables) -> DataFrame:
     return ev.means(t.events.withColumn("v", F.col("value") / 100), "user_id", "event_type", "v")
 

@@ -147,3 +147,8 @@ def test_assignment(spark):
     rows = spark.createDataFrame([("k", 1, 1, 9.0), ("k", 1, 2, 5.0), ("k", 2, 1, 4.0), ("m", 1, 1, 1.0)], "case string, gold int, found int, overlap double")
     got = sorted(tuple(r) for r in rp.assign(rows, "case").collect())
     assert got == [("k", 1, 2, 5.0), ("k", 2, 1, 4.0), ("m", 1, 1, 1.0)]
+
+
+def test_tight_clusters(spark):
+    rows = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.96), ("a", "c", 0.8), ("x", "y", 0.97)], "a string, b string, cosine double")
+    assert {r["id"]: r["cluster"] for r in rs.tight_clusters(rows).collect()} == {"a": "a", "b": "a", "c": "c", "x": "x", "y": "x"}

@@ -22,9 +22,9 @@ def tables():
 
 def plain(v):
     if isinstance(v, float):
-        return round(v, 6) + 0.0
+        return round(v, 9) + 0.0
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 6) + 0.0
+        return round(float(v), 9) + 0.0
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
