@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import written
+
 K, BIN_BITS, PLACE_BITS = 5, 5, 24
 BINS = 1 << BIN_BITS
 _PLACES = (1 << PLACE_BITS) - 1
@@ -95,9 +97,10 @@ def followers(keys: DataFrame) -> DataFrame:
     """(dk, th, cut, next_dk, next_th): the key that follows each, after the last the first. keys: (dk, th, cut), distinct.
 
     Keys are ranged into partitions; only the first key of each partition goes to all tasks: as many rows as partitions.
+    The ranges are written once: planned twice, they would be sampled twice and have different bounds.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.repartitionByRange(n, "dk", "th").withColumn("range", F.spark_partition_id())
+    ranged = written(keys.repartitionByRange(n, "dk", "th").withColumn("range", F.spark_partition_id()), "ranges")
     heads = ranged.groupBy("range").agg(F.min(F.struct("dk", "th")).alias("head"))
     order = Window.partitionBy(F.lit(0)).orderBy("range")
     heads = heads.select("range", F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))

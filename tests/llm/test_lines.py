@@ -95,3 +95,16 @@ def test_fingerprint_edges(spark):
     assert ordermin.digest(edge_docs(spark).where("false")).count() == 0
     one = ordermin.digest(edge_docs(spark, [(1, "a b c d e f g h")])).collect()[0]
     assert one["near_next"] == 1.0
+
+
+def test_followers_of_a_table_that_is_sampled(spark):
+    """Range bounds come from a sample once a partition holds more keys than that takes."""
+    keys = spark.range(0, 40_000, 1, 8).selectExpr("id % 20000 as dk", "xxhash64(id) as th", "cast(id % 7 as int) as cut")
+    want = sorted(map(tuple, keys.collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = ordermin.followers(keys).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(tuple, got)) == [(*a, *b[:2]) for a, b in zip(want, want[1:] + want[:1])]
