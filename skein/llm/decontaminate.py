@@ -55,7 +55,7 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, words, size of its shingles, places of its shingles in the filter) of each window."""
+    """(item_id, words, size of its shingles, places of its shingles in the filter) of each distinct window of an item: repeated rows and repeated passages make one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -79,7 +79,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 )
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return map_arrow(items.select("item_id", F.col("text").cast("string").alias("text")), run, f"item_id {kind}, words array<string>, gram int, places array<long>")
+    return map_arrow(items.select("item_id", F.col("text").cast("string").alias("text")), run, f"item_id {kind}, words array<string>, gram int, places array<long>").distinct()
 
 
 def _filters(windows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:

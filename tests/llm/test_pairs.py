@@ -53,6 +53,16 @@ def test_decontaminate_data(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want and any(r[5] for r in want)
 
 
+def test_decontaminate_repeats(spark):
+    """An item that stands twice under its id, one that repeats a window, and one of equal words."""
+    verse = "red orange yellow green blue indigo violet black white grey"
+    items = [(1, verse + " end"), (1, verse + " end"), (2, f"{verse} and {verse} again"), (3, "na " * 14), (4, "tick tock"), (4, "tick tock"), (4, "ping pong tick tock")]
+    docs = [(1, f"x {verse} y"), (2, f"{verse} end"), (3, "so na na na na na na na na na na na"), (4, "na " * 9), (5, "a tick tock"), (6, f"{verse} and red"), (7, "ping pong tick tock")]
+    got = decontaminate.digest(edge_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == contaminated(docs, items)
+    assert [r["doc_id"] for r in sorted(got) if r["contaminated"]] == [1, 2, 3, 5, 6, 7]
+
+
 def simple(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
     if not w:
