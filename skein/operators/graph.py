@@ -141,12 +141,17 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     return parts.agg(F.round(F.sum(F.coalesce("inner", F.lit(0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)), 6).alias("modularity"))
 
 
-def reverse_dependents(depends_on: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, hop): everything that depends on the start nodes, directly or not. depends_on: (src depends on dst)."""
+def reverse_dependents(depends_on: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, hop): everything that depends on the start nodes, directly or not. depends_on: (src depends on dst).
+
+    One round a hop until nothing new is found; what was seen is written together every 16 hops, so the plan stays short.
+    """
     seen = frontier = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
-    for hop in range(1, rounds + 1):
+    hop = 0
+    while not frontier.isEmpty():
+        hop += 1
         frontier = cut(depends_on.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
+        if hop % 16 == 0:
+            seen = cut(seen)
     return seen

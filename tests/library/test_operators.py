@@ -74,6 +74,12 @@ def test_components(spark):
     assert gr.components(edges.where("false")).count() == 0
 
 
+def test_reverse_dependents_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(103)] + [(0, 103), (200, 50)], "src long, dst long").coalesce(1)
+    got = gr.reverse_dependents(edges, spark.createDataFrame([(0,)], "id long")).collect()
+    assert sorted(map(tuple, got)) == [*((k, k) for k in range(104)), (200, 51)]
+
+
 def test_label_propagation_finds_cliques(spark):
     clique = lambda k: [(f"{k}{i}", f"{k}{j}", 1) for i in range(6) for j in range(i)]
     edges = spark.createDataFrame(clique("a") + clique("b") + [("a0", "b0", 1)], "src string, dst string, weight int")
