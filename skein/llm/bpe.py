@@ -12,9 +12,10 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,13 @@ from pyspark.sql import types as T
 
 from skein.llm.common import pieces
 
-#: Cached pre-tokens in a Python worker and the longest that is kept; beyond it the cache starts anew. No result depends on it.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
+#: Bytes of a cache in a Python worker (two of them: pre-tokens, and pieces between spaces), and the longest key that is kept.
+CACHE_BYTES, CACHE_CHARS = 16_000_000, 64
 #: Pre-tokens of at most so many bytes merge by a scan of their few ranks, longer ones by the queue; the ids are the same.
-SHORT_BYTES = 40
+SHORT_BYTES = 16
 _NONE = 1 << 40
+#: What an entry takes in a dictionary, beside its key and its value.
+SLOT_BYTES = 104
 _BITS = 10
 _LOW = (1 << _BITS) - 1
 #: A space that touches other white space: such texts are split by the pattern as a whole.
@@ -59,10 +62,12 @@ class RankQueue:
             return
         self.buckets[rank] = [position]
         leaf = rank >> _BITS
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & _LOW)
-        mid = leaf >> _BITS
-        self.middle[mid] = self.middle.get(mid, 0) | 1 << (leaf & _LOW)
-        self.top |= 1 << mid
+        bits = self.leaves.get(leaf, 0)
+        self.leaves[leaf] = bits | 1 << (rank & _LOW)
+        if not bits:
+            mid = leaf >> _BITS
+            self.middle[mid] = self.middle.get(mid, 0) | 1 << (leaf & _LOW)
+            self.top |= 1 << mid
 
     def pop(self) -> tuple[int, int] | None:
         """The lowest rank and the leftmost position in its bucket."""
@@ -77,12 +82,10 @@ class RankQueue:
         position = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            self.leaves[leaf] ^= 1 << (rank & _LOW)
+            self.leaves[leaf] = bits & bits - 1
             if not self.leaves[leaf]:
-                del self.leaves[leaf]
                 self.middle[mid] ^= 1 << (leaf & _LOW)
                 if not self.middle[mid]:
-                    del self.middle[mid]
                     self.top ^= 1 << mid
         return rank, position
 
@@ -92,31 +95,35 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
-    n = len(word)
+    n, get = len(word), ranks.get
     end = list(range(1, n + 1))  # of the part that begins here
     before = list(range(-1, n - 1))  # where the previous part begins
-    live = bytearray(b"\1") * n
+    at: list[int | None] = [get(word[i : i + 2]) for i in range(n)]  # rank of the part here with the next one; of the last part: none
+    at[n - 1] = None
     queue = RankQueue()
-    for i in range(n - 1):
-        rank = ranks.get(word[i : i + 2])
+    push, pop = queue.push, queue.pop
+    for i, rank in enumerate(at):
         if rank is not None:
-            queue.push(rank, i)
-    while (found := queue.pop()) is not None:
+            push(rank, i)
+    while (found := pop()) is not None:
         rank, i = found
-        if not live[i] or (j := end[i]) >= n or ranks.get(word[i : end[j]]) != rank:
+        if at[i] != rank:
             continue  # stale
-        live[j] = 0
+        j = end[i]
+        at[j] = None
         end[i] = k = end[j]
         if k < n:
             before[k] = i
-            right = ranks.get(word[i : end[k]])
+            at[i] = right = get(word[i : end[k]])
             if right is not None:
-                queue.push(right, i)
+                push(right, i)
+        else:
+            at[i] = None
         h = before[i]
         if h >= 0:
-            left = ranks.get(word[h:k])
+            at[h] = left = get(word[h:k])
             if left is not None:
-                queue.push(left, h)
+                push(left, h)
     out, i = [], 0
     while i < n:
         out.append(ranks[word[i : end[i]]])
@@ -124,74 +131,60 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """From each pair of ids, as left << 20 | right, to the id it merges into."""
-    out = {}
-    for word, rank in ranks.items():
-        for k in range(1, len(word)):
-            left, right = ranks.get(word[:k]), ranks.get(word[k:])
-            if left is not None and right is not None:
-                out[left << 20 | right] = rank
-    return out
-
-
-def merge_short(ids: list[int], pairs: dict[int, int]) -> list[int]:
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges over a few parts, where a scan of the waiting ranks costs less than the queue."""
-    get = pairs.get
-    waiting = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+    get = ranks.get
+    whole = get(word)
+    if whole is not None:
+        return [whole]
+    parts = [word[i : i + 1] for i in range(len(word))]
+    waiting = [get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
     while waiting and (rank := min(waiting)) != _NONE:
         i = waiting.index(rank)
-        ids[i] = rank
-        del ids[i + 1], waiting[i]
+        parts[i] += parts[i + 1]
+        del parts[i + 1], waiting[i]
         if i < len(waiting):
-            waiting[i] = get(rank << 20 | ids[i + 1], _NONE)
+            waiting[i] = get(parts[i] + parts[i + 1], _NONE)
         if i:
-            waiting[i - 1] = get(ids[i - 1] << 20 | rank, _NONE)
-    return ids
+            waiting[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+    return [ranks[x] for x in parts]
 
 
-class _Cache(dict):
-    """From a piece of text to its ids as int32 bytes; lead: what stands before each piece."""
+class Cache(dict):
+    """What ``make`` gives for short keys, in two halves: when the newer one is full, it becomes the older one, which goes.
 
-    def __init__(self, encoder: "Encoder", lead: str) -> None:
-        super().__init__()
-        self.encoder, self.lead = encoder, lead
+    Both together hold about ``CACHE_BYTES``, whatever the texts; no result depends on it.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.by_pattern(self.lead + piece)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+    def __init__(self, make: Callable, limit: int | None = None) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+        self.room = self.half = (CACHE_BYTES if limit is None else limit) // 2
+
+    def __missing__(self, key: str):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            self.room -= getsizeof(key) + getsizeof(value) + SLOT_BYTES
+            if self.room < 0:
+                self.old, self.room = dict(self), self.half
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = value
+        return value
 
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.findall = ranks, regex.compile(pattern).findall
-        self.pairs, self.bytes = pair_ranks(ranks), [ranks[bytes([b])] for b in range(256)]
-        self.spaced, self.words = _Cache(self, " "), {}
+        self.spaced, self.words = Cache(lambda piece: self.by_pattern(" " + piece)), Cache(self.pretoken)
 
     def pretoken(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            raw = word.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                ids = [whole]
-            elif len(raw) <= SHORT_BYTES:
-                ids = merge_short([*map(self.bytes.__getitem__, raw)], self.pairs)
-            else:
-                ids = merge(raw, self.ranks)
-            got = array("i", ids).tobytes()
-            if len(word) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[word] = got
-        return got
+        raw = word.encode()
+        return array("i", (merge_short if len(raw) <= SHORT_BYTES else merge)(raw, self.ranks)).tobytes()
 
     def by_pattern(self, text: str) -> bytes:
-        return b"".join(map(self.pretoken, self.findall(text)))
+        return b"".join(map(self.words.__getitem__, self.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """The ids as int32 bytes. A lone space between two marks always begins a pre-token, so such pieces are looked up whole."""

@@ -20,10 +20,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.bpe import CACHE_CHARS, SHORT_BYTES, RankQueue
+from skein.llm.bpe import SHORT_BYTES, Cache, RankQueue
 from skein.llm.common import pieces
 
-CACHE_ENTRIES = 600_000
 #: White space to ``str.split`` that Unicode doesn't call so.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -117,22 +116,12 @@ class Vocabulary:
         return frozenset(out)
 
 
-class Counter(dict):
-    """From a run without white space to its number of tokens."""
+class Counter:
+    """Counts tokens; what it worked out for runs without white space and for pre-tokens is kept in bounded caches."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.vocabulary = Vocabulary(path)
-        self.words: dict[str, int] = dict.fromkeys(self.vocabulary.single, 1)
-        self.proved = len(self.words)
-
-    def __missing__(self, chunk: str) -> int:
-        n = self.slow(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = n
-        return n
+        self.runs, self.words = Cache(self.slow), Cache(lambda word: len(self.vocabulary.tokens(word)))
 
     def slow(self, text: str) -> int:
         """Tokens of text without special strings: normalised, split, whole tokens looked up and the rest merged."""
@@ -142,14 +131,7 @@ class Counter(dict):
         return sum(map(self.pretoken, self.vocabulary.findall(text.lower())))
 
     def pretoken(self, word: str) -> int:
-        n = self.words.get(word)
-        if n is None:
-            n = len(self.vocabulary.tokens(word))
-            if len(word) <= CACHE_CHARS:
-                if len(self.words) >= self.proved + CACHE_ENTRIES:
-                    self.words = dict.fromkeys(self.vocabulary.single, 1)
-                self.words[word] = n
-        return n
+        return 1 if word in self.vocabulary.single else self.words[word]
 
     def count(self, text: str) -> int:
         special = self.vocabulary.special
@@ -161,7 +143,7 @@ class Counter(dict):
     def plain(self, text: str) -> int:
         if _CONTROLS.search(text):
             return self.slow(text)
-        return sum(map(self.__getitem__, text.split()))
+        return sum(map(self.runs.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)

@@ -27,13 +27,26 @@ def test_bpe_equals_library(library):
 
 
 def test_queue_and_scan_agree():
-    ranks = bpe.load_ranks(RANKS)
-    pairs, single = bpe.pair_ranks(ranks), [ranks[bytes([b])] for b in range(256)]
-    rng = random.Random(1)
+    ranks, rng = bpe.load_ranks(RANKS), random.Random(1)
     for _ in range(300):
-        word = bytes(rng.choice(b"aetionsrh\xc3\xa9 ") for _ in range(rng.randrange(2, 60)))
-        if word not in ranks:
-            assert bpe.merge(word, ranks) == bpe.merge_short([single[b] for b in word], pairs)
+        word = bytes(rng.choice(b"aetionsrh\xc3\xa9 ") for _ in range(rng.randrange(1, 60)))
+        assert bpe.merge(word, ranks) == bpe.merge_short(word, ranks)
+    for word in (b"ab" * 3000, b"a" * 5001, b" " * 777):
+        assert bpe.merge(word, ranks) == bpe.merge_short(word, ranks)
+
+
+def test_cache_is_bounded_and_changes_nothing(library):
+    made = []
+    cache = bpe.Cache(lambda key: made.append(key) or len(key), 40_000)
+    rng = random.Random(3)
+    for _ in range(5000):
+        key = "k" * rng.randrange(1, 90) + str(rng.randrange(400))
+        assert cache[key] == len(key)
+    assert len(cache) + len(cache.old) < 400 and len(made) < 5000
+    encoder = bpe.Encoder(bpe.load_ranks(RANKS), P.PATTERN)
+    encoder.spaced.half = encoder.spaced.room = encoder.words.half = encoder.words.room = 3000
+    for t in ODD + [t for _, t in texts()][:20]:
+        assert [*memoryview(encoder.encode(t)).cast("i")] == library.encode_ordinary(t)
 
 
 def test_rank_queue_order():
