@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from skein.llm.common import pieces
 
-#: Bytes of a cache in a Python worker (two of them: pre-tokens, and pieces between spaces), and the longest key that is kept.
-CACHE_BYTES, CACHE_CHARS = 16_000_000, 64
+#: Bytes of a cache while a task runs (half as much again for pre-tokens of pieces that have several), and the longest key that is kept.
+CACHE_BYTES, CACHE_CHARS = 64_000_000, 64
 #: Pre-tokens of at most so many bytes merge by a scan of their few ranks, longer ones by the queue; the ids are the same.
 SHORT_BYTES = 16
 _NONE = 1 << 40
@@ -161,6 +161,10 @@ class Cache(dict):
         self.make, self.old = make, {}
         self.room = self.half = (CACHE_BYTES if limit is None else limit) // 2
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.room = {}, self.half
+
     def __missing__(self, key: str):
         value = self.old.pop(key, None)
         if value is None:
@@ -177,7 +181,7 @@ class Cache(dict):
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.findall = ranks, regex.compile(pattern).findall
-        self.spaced, self.words = Cache(lambda piece: self.by_pattern(" " + piece)), Cache(self.pretoken)
+        self.spaced, self.words = Cache(self.after_space), Cache(self.pretoken, CACHE_BYTES // 2)
 
     def pretoken(self, word: str) -> bytes:
         raw = word.encode()
@@ -186,6 +190,15 @@ class Encoder:
     def by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.findall(text)))
 
+    def after_space(self, piece: str) -> bytes:
+        words = self.findall(" " + piece)
+        return self.pretoken(words[0]) if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
+
+    def forget(self) -> None:
+        """A worker serves other stages too; what a task has gathered goes with it."""
+        self.spaced.forget()
+        self.words.forget()
+
     def encode(self, text: str) -> bytes:
         """The ids as int32 bytes. A lone space between two marks always begins a pre-token, so such pieces are looked up whole."""
         if _JOINED_SPACE.search(text):
@@ -196,7 +209,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder_of(rank_path: str, pattern: str) -> Encoder:
-    """One for each Python worker: its cache serves all tasks that run there."""
+    """One for each Python worker: the ranks serve all tasks that run there."""
     return Encoder(load_ranks(rank_path), pattern)
 
 
@@ -216,12 +229,15 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(rank_path, pattern)
         code = encoder.encode if quick else encoder.by_pattern
-        for batch, column in pieces(batches, text):
-            packed = [code(x.decode()) for x in column.to_pylist()]
-            ends = np.cumsum([0, *map(len, packed)]) // 4
-            values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
-            array = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, ids])
+        try:
+            for batch, column in pieces(batches, text):
+                packed = [code(x.decode()) for x in column.to_pylist()]
+                ends = np.cumsum([0, *map(len, packed)]) // 4
+                values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+                array = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+                yield pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, ids])
+        finally:
+            encoder.forget()
 
     return docs.mapInArrow(run, out)
 

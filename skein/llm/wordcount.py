@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.bpe import SHORT_BYTES, Cache, RankQueue
+from skein.llm.bpe import CACHE_BYTES, SHORT_BYTES, Cache, RankQueue
 from skein.llm.common import pieces
 
 #: White space to ``str.split`` that Unicode doesn't call so.
@@ -121,7 +121,11 @@ class Counter:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.runs, self.words = Cache(self.slow), Cache(lambda word: len(self.vocabulary.tokens(word)))
+        self.runs, self.words = Cache(self.slow), Cache(lambda word: len(self.vocabulary.tokens(word)), CACHE_BYTES // 2)
+
+    def forget(self) -> None:
+        self.runs.forget()
+        self.words.forget()
 
     def slow(self, text: str) -> int:
         """Tokens of text without special strings: normalised, split, whole tokens looked up and the rest merged."""
@@ -157,9 +161,12 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     narrow = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter_of(path).count
-        for batch, column in pieces(batches):
-            n = pa.array([count(x.decode()) for x in column.to_pylist()], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(column).cast(pa.int64()), n], names=[key, "n_bytes", "n_tokens"])
+        counter = counter_of(path)
+        try:
+            for batch, column in pieces(batches):
+                n = pa.array([counter.count(x.decode()) for x in column.to_pylist()], type=pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(column).cast(pa.int64()), n], names=[key, "n_bytes", "n_tokens"])
+        finally:
+            counter.forget()
 
     return narrow.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long")
