@@ -6,7 +6,9 @@ hinge loss is then minimised by dual coordinate descent, and the margin is mappe
 ``TRAIN_ROWS`` bounds the labelled rows that the fit takes (those whose ids hash lowest); everything is scored. Whole texts are used.
 
 Defined results: null text is as empty and gets the score of a text without any known n-gram; labels that are null or not
-0 or 1 are left out; without labels of both classes every score is 0.5, or the only class; repeated rows are scored each.
+0 or 1 are left out, an id with both counts as 1; without labels of both classes every score is 0.5, or the only class;
+repeated rows are scored each, and learnt from once; an empty table gives an empty one; other columns are ignored by
+``scored`` and pass unchanged through ``score``.
 """
 
 from __future__ import annotations
@@ -118,11 +120,21 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int) -> DataFrame:
-    """(text, y) of at most ``bound`` labelled rows that may be learnt from: the ids whose hash is lowest. One row an id and text."""
-    chosen = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).where(learn).orderBy(F.xxhash64("id"), "id").limit(bound)
-    return docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
+def chosen_labels(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """(id, y): one row an id that may be learnt from; an id with both labels has 1."""
+    valid = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
+    return valid.where(learn).groupBy("id").agg(F.max("y").alias("y"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, only: int | None = None) -> DataFrame:
+    """(text, y) of at most ``bound`` labelled rows that may be learnt from: those whose ids hash lowest. One row an id and text. only: of this label."""
+    chosen = chosen_labels(labels, label, learn)
+    if only is not None:
+        chosen = chosen.where(F.col("y") == only)
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(bound)
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    # repeated ids give more rows than ids
+    return rows.select("id", "text", "y").distinct().orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text").limit(bound).select("text", "y")
 
 
 def model(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int = TRAIN_ROWS) -> tuple:

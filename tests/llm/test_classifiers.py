@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import nbsvm, queries, toxicity
 from tests.conftest import DATA
@@ -46,12 +47,30 @@ def test_dual_coordinate_descent_separates():
 
 
 def test_dictionaries_and_gains():
+    """Windows that hold what only toxic text repeats are shortened most, in texts that the training hasn't seen."""
     rng = np.random.default_rng(2)
-    usual, bad = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 5).astype(np.uint64)
-    text = lambda toxic: np.concatenate([rng.choice(usual, 40), rng.choice(bad, 2 if toxic else 0)])
-    texts = [text(k % 4 == 0) for k in range(400)]
-    base, added = toxicity.dictionaries([t for k, t in enumerate(texts) if k % 4], [t for k, t in enumerate(texts) if not k % 4])
-    assert set(np.frombuffer(added, np.uint64)) == set(bad)
-    gains, first = toxicity.Gains(base, added)(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    usual, bad = [bytes(rng.integers(97, 123, rng.integers(3, 9)).tolist()) for _ in range(400)], [b"grumbleworth", b"snarkfoil", b"vexatious"]
+
+    def text(toxic):
+        words = rng.choice(usual, 60).tolist()
+        for _ in range(3 if toxic else 0):
+            words.insert(int(rng.integers(60)), bad[rng.integers(3)])
+        return b" ".join(words)
+
+    texts = [text(k % 4 == 0) for k in range(1200)]
+    seen = texts[:800]
+    ordinary, toxic = toxicity.dictionaries([t for k, t in enumerate(seen) if k % 4], [t for k, t in enumerate(seen) if not k % 4])
+    assert len(ordinary) <= toxicity.ORDINARY_BYTES and len(toxic) <= toxicity.TOXIC_BYTES
+    gains, first = toxicity.Gains(ordinary, toxic)(texts[800:])
     best = np.maximum.reduceat(gains, first[:-1])
-    assert best[::4].min() > np.delete(best, np.s_[::4]).max()
+    assert auc(best, np.arange(400) % 4 == 0) > 0.97
+    assert b"".join(toxicity.windows(texts[0])) == texts[0] and toxicity.windows(b"") == toxicity.windows(b"  \n ") == []
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, "a")] * 500 + [(2, "b"), (2, "c"), (3, None), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (4, 1), (5, 1), (None, 1)], "doc_id long, toxic int")
+    every = nbsvm.labelled(docs, labels, "toxic", F.lit(True), 100)
+    assert sorted(map(tuple, every.collect())) == [("", 1), ("a", 1), ("b", 0), ("c", 0), ("d", 1)]
+    assert nbsvm.labelled(docs, labels, "toxic", F.lit(True), 1).count() == 1
+    assert sorted(r["text"] for r in nbsvm.labelled(docs, labels, "toxic", F.lit(True), 9, 0).collect()) == ["b", "c"]
