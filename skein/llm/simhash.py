@@ -8,6 +8,10 @@ meet: only distinct fingerprints are joined.
 
 The plan (groups, thresholds) is estimated on ``PLAN_ROWS`` fingerprints; it changes cost, never results.
 
+``near_texts`` is the stage of a corpus pipeline: fingerprints of word pairs within ``NEAR_DISTANCE`` bits are candidates, and
+a link is a Jaccard similarity of ``NEAR`` or more between the sets of five-word shingles, worked out from whole texts.
+Candidates that earlier links have already joined aren't compared again.
+
 Defined results: null and empty texts and texts of white space have fingerprint 0 and link like any other; repeated rows
 are returned each; an empty table gives an empty one; component_id is the smallest doc_id of the component that isn't null.
 """
@@ -21,29 +25,35 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_arrow, pieces, written
+from skein.llm.common import LOWER, Powers, flat, map_arrow, mix, pieces, word_spans, written
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 PLAN_ROWS = 3000
+#: Of ``near_texts``: words of a shingle that is compared, least similarity, words of a shingle in the fingerprint, bits between candidates.
+NEAR_WORDS, NEAR, NEAR_SHINGLE, NEAR_DISTANCE = 5, 0.8, 2, 8
+_WORD = np.ones(256, dtype=bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
+_STEPS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(NEAR_WORDS)], dtype=np.uint64)
 #: Cost of a row that is shuffled against that of a pair that is verified.
 ROW_COST = 40
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     words = text.lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
-    n = len(words) - SHINGLE + 1
+    n = len(words) - shingle + 1
     if n <= 1:
         return xxhash.xxh64_intdigest(joined, SEED)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths)
     starts = (ends - lengths)[:n].tolist()
-    stops = (ends[SHINGLE - 1 :] - 1).tolist()
+    stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_digest
     raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)])
     cells = np.frombuffer(raw, dtype=np.uint8).reshape(n, 8)
@@ -174,5 +184,83 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     return marked.join(named.selectExpr("fp", "component", "coalesce(n_links, 0L) as n_links"), "fp").select(key, "fp", "component", "n_links")
 
 
+def marked_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, c, fp, packed) of each row: c is the hash of the text, packed the text compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch, column in pieces(batches):
+            own = column.to_pylist()
+            fps = np.array([fingerprint(t, NEAR_SHINGLE) for t in own], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in own], pa.binary()), pa.array(fps), pa.array([pack(t) for t in own], pa.binary())], names=[key, "c", "fp", "packed"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return map_arrow(docs.select(F.col(key), F.col(text).cast("string").alias("text")), run, f"`{key}` {kind}, c binary, fp long, packed binary")
+
+
+def shingle_hashes(texts: list[bytes], powers: Powers) -> list[np.ndarray]:
+    """The distinct shingles of ``NEAR_WORDS`` words of each text, hashed and sorted; of fewer words, one of them all."""
+    data, offsets = flat(pa.array(texts, pa.large_binary()))
+    data = LOWER[data]
+    starts, ends, before = word_spans(data, offsets, _WORD)
+    words = powers.spans(powers.prefix(data), starts, ends)
+    out = []
+    for a, b in zip(before[:-1], before[1:]):
+        own, size = words[a:b], min(NEAR_WORDS, b - a)
+        n = len(own) - size + 1
+        sums = np.full(n if size else 0, size, dtype=np.uint64)
+        for k in range(size):
+            sums += own[k : n + k] * _STEPS[k]
+        out.append(np.unique(mix(sums)))
+    return out
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 1.0
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose texts (c, packed) have a similarity of ``NEAR`` or more."""
+    left, right = texts.selectExpr("c as a", "packed as pa"), texts.selectExpr("c as b", "packed as pb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, unpack = Powers(), zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                x, y = (shingle_hashes([*map(unpack, batch.column(k).to_pylist())], powers) for k in (2, 3))
+                near = pa.array([jaccard(p, q) >= NEAR for p, q in zip(x, y)], pa.bool_())
+                yield batch.select(["a", "b"]).filter(near)
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary")
+
+
+def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component): the least key of all rows whose texts are linked with the row's, directly or not."""
+    marked = written(marked_texts(docs, key, text), "texts")
+    classes = written(marked.groupBy("c").agg(F.min(key).alias("first"), F.first("fp").alias("fp")), "classes")
+    prints = classes.select("fp").distinct()
+    n = prints.count()
+    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_ROWS).collect()
+    same = prints.selectExpr("fp as a", "fp as b")
+    near = same if n < 2 else same.union(links(prints, plan(np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64), n, NEAR_DISTANCE), NEAR_DISTANCE))
+    ends = near.join(classes.selectExpr("fp as a", "c as x"), "a").join(classes.selectExpr("fp as b", "c as y"), "b").where("a != b or x < y")
+    candidates = written(ends.selectExpr("least(x, y) as a", "greatest(x, y) as b"), "candidates")
+    asked = candidates.selectExpr("a as c").union(candidates.selectExpr("b as c")).distinct()
+    texts = written(marked.join(asked, "c", "left_semi").groupBy("c").agg(F.first("packed").alias("packed")), "compared")
+    # first, each text against the least of its candidates: that joins most of a group
+    first = written(similar(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), "first")
+    roots = written(components(first), "roots")
+    of = lambda end: roots.selectExpr(f"node as {end}", f"root as r{end}")
+    rest = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
+    edges = first.union(similar(rest, texts))
+    named = classes.join(components(edges).withColumnRenamed("node", "c"), "c", "left").selectExpr("c", "first", "coalesce(root, c) as root")
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("c", "component")
+    return marked.select(key, "c").join(named, "c").select(key, "component")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component as component_id", "n_links")

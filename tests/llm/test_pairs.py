@@ -101,6 +101,54 @@ def test_simhash_edges_and_data(spark):
     assert simhash.digest(edge_docs(spark, EDGES[3:4])).count() == 1
 
 
+def five_word_groups(docs):
+    """Of each row, the least id of its group: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+
+    def shingles(text):
+        w = low(text).encode().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            either = len(sets[i] | sets[j])
+            if either == 0 or len(sets[i] & sets[j]) >= 0.8 * either:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return [least[find(i)] for i in range(len(docs))]
+
+
+def test_near_texts(spark):
+    """Links are exact; of pairs at 0.8 or more, those far apart in bits may be missed, so the planted edits are small."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for k in range(12):
+        base = [word() for _ in range(300)]
+        docs.append((len(docs), " ".join(base)))
+        for n in (1, 1, 2):
+            edited = list(base)
+            for at in rng.sample(range(300), n):
+                edited[at] = word()
+            docs.append((len(docs), " ".join(edited)))
+        docs.append((len(docs), " ".join(base)))
+        docs.append((len(docs), " ".join(base[:150] + [word() for _ in range(150)])))
+    docs += [(900, ""), (901, "  "), (902, "one"), (903, "ONE "), (904, "one two"), (905, None)]
+    got = {r["doc_id"]: r["component"] for r in simhash.near_texts(edge_docs(spark, docs)).collect()}
+    assert got == {i: c for (i, _), c in zip(docs, five_word_groups(docs))}
+    assert simhash.near_texts(edge_docs(spark).where("false")).count() == 0
+    assert simhash.near_texts(edge_docs(spark, EDGES[3:4])).count() == 1
+
+
 def test_links_are_complete(spark):
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(150)}

@@ -3,7 +3,7 @@ from skein.llm import nbsvm
 from tests.conftest import DATA
 from tests.llm.data import edge_docs, read
 from tests.llm.test_lines import brute as brute_lines
-from tests.llm.test_pairs import contaminated, near, simple
+from tests.llm.test_pairs import contaminated, five_word_groups
 
 SF = f"{DATA}/sf0.001"
 
@@ -25,9 +25,11 @@ def test_stages_equal_brute_force(spark):
 
     ids = sorted(cleaned)
     third = corpus_pipeline.near_dedup(spark, second, SF)
-    roots = near([simple(cleaned[i]) for i in ids], ids)
-    left = [i for i, r in zip(ids, roots) if i == r]
-    assert sorted(r["doc_id"] for r in third.collect()) == left
+    roots = five_word_groups([(i, cleaned[i]) for i in ids])
+    left = sorted(r["doc_id"] for r in third.collect())
+    exact = [i for i, r in zip(ids, roots) if i == r]
+    assert set(exact) <= set(left)  # no document goes without a link
+    assert len(set(left) - set(exact)) <= 0.1 * (len(ids) - len(exact))  # SimHash finds 0.9 of those that should
 
     fourth = corpus_pipeline.decontamination(spark, third, SF)
     dirty = {r[0] for r in contaminated([(i, cleaned[i]) for i in left], read("sf0.001", "benchmark")) if r[5]}
