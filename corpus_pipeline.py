@@ -38,9 +38,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id (null is smallest), of its texts the one of smaller hash; rows that repeat stay once."""
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id (null is smallest), of its texts the one of smaller hash; rows that repeat stay once.
+
+    A group is what links of a five-word Jaccard similarity of 0.8 or more join; SimHash finds the pairs that are compared.
+    """
     keyed = _keyed(docs)
-    groups = simhash.near_duplicates(keyed.select(F.struct("__id", "__th").alias("doc_id"), "text"))
+    groups = simhash.near_texts(keyed.select(F.struct("__id", "__th").alias("doc_id"), "text"))
     kept = groups.where("doc_id = component").select("doc_id.*").distinct()
     return keyed.join(kept, ["__id", "__th"]).dropDuplicates(["__id", "__th"]).select(*COLUMNS)
 
