@@ -13,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once; a single longer text makes a piece of its own.
 PIECE_BYTES = 2_000_000
@@ -41,6 +42,24 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of which this share of all rows or more is hot: so there are at most as many of them as its inverse.
+HOT_SHARE = 1 / 5000
+
+
+def hot_join(left: DataFrame, counted: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """Join ``left`` (of ``rows`` rows) with ``counted``, whose column ``n`` says how many rows of left hold each key.
+
+    Hot keys would each fill one task of a shuffle. There are at most ``1 / HOT_SHARE`` of them, so their side is broadcast
+    and their rows stay where they are; all other rows are shuffled. how: inner or left; n is dropped.
+    """
+    least = max(1000, int(rows * HOT_SHARE))
+    hot, cold = (counted.where(x).drop("n") for x in (f"n > {least}", f"n <= {least}"))
+    if hot.isEmpty():
+        return left.join(cold, keys, how)
+    few = F.broadcast(hot.select(*keys).distinct())
+    return left.join(F.broadcast(hot), keys).unionByName(left.join(few, keys, "left_anti").join(cold, keys, how))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one large_binary array, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,7 +8,8 @@ orders them by segment number, checks that none is missing and that the total le
 Defined results: null html is an empty payload; payloads below ``LEAST_BYTES`` are never revisits; rows that repeat a
 page_id make a record each, and of equal payloads all with the smallest page_id are responses; a null page_id counts as
 the largest; a null url writes no target; a record whose segments are missing, doubled with other bytes, or of another
-total length, or whose framing breaks off, comes back with payload null and the reason in ``problem``.
+total length, or whose framing breaks off, comes back with payload null and the reason in ``problem``; an empty table
+writes no archive and reads no record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,19 +17,18 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import shared_folder, written
+from skein.llm.common import hot_join, shared_folder, written
 
 LEAST_BYTES = 100
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 32_768, 4096, 64_000_000
-#: Keys over which the copies of one payload are spread.
-SALTS = 16
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 DATE = "2020-01-01T00:00:00Z"
 RECORD = "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, payload binary, problem string"
 _FIELDS = ["page_id", "url", "record_type", "refers_to", "digest", "payload_bytes"]
@@ -36,13 +36,12 @@ _PAGE = re.compile(r"<urn:page:(-?\d+)")
 
 
 def with_decisions(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to is null for responses."""
+    """(page_id, url, payload, digest, payload_bytes, refers_to): refers_to is null for responses."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    base = base.withColumn("digest", F.sha2("payload", 256))
-    copied = base.where(F.length("payload") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    copied = copied.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = base.withColumn("salt", F.expr(f"cast(pmod(xxhash64(page_id), {SALTS}) as int)"))
-    return salted.join(copied, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", F.expr("case when first is not null and (page_id is null or page_id != first) then first end").alias("refers_to"))
+    base = base.withColumns({"digest": F.sha2("payload", 256), "payload_bytes": F.length("payload").cast("long")})
+    copied = base.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    joined = hot_join(base, written(copied, "copied"), ["digest"], base.count(), "left")
+    return joined.select("page_id", "url", "payload", "digest", "payload_bytes", F.expr("case when first is not null and (page_id is null or page_id != first) then first end").alias("refers_to"))
 
 
 def _record(kind: str, name: str, block: bytes, *more: tuple[str, str]) -> bytes:
@@ -52,27 +51,28 @@ def _record(kind: str, name: str, block: bytes, *more: tuple[str, str]) -> bytes
     return packer.compress(raw) + packer.flush()
 
 
-def _block(payload: bytes, revisit: bool) -> bytes:
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    if revisit or len(payload) < CHUNK_BYTES:
-        return head + b"Content-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
-    parts = [head, b"Transfer-Encoding: chunked\r\n\r\n"]
+def _block(payload: bytes) -> bytes:
+    if len(payload) < CHUNK_BYTES:
+        return _HTTP + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
+    parts = [_HTTP, b"Transfer-Encoding: chunked\r\n\r\n"]
     for at in range(0, len(payload), CHUNK_BYTES):
         chunk = payload[at : at + CHUNK_BYTES]
         parts += [b"%x\r\n" % len(chunk), chunk, b"\r\n"]
     return b"".join([*parts, b"0\r\n\r\n"])
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, tag: str) -> Iterator[bytes]:
-    """The gzip members of one page. tag: makes the record's name unique."""
-    name = f"<urn:page:{'none' if page_id is None else page_id}:{tag}>"
-    more = [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
-    if url is not None:
-        more.append(("WARC-Target-URI", re.sub(r"\s", "%20", url)))
-    block = _block(payload, refers_to is not None)
-    if refers_to is not None:
-        yield _record("revisit", name, block, *more, ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-        return
+def new_name(page_id: int | None) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{uuid.uuid4().hex}>"
+
+
+def _about(url: str | None, digest: str) -> list[tuple[str, str]]:
+    target = [] if url is None else [("WARC-Target-URI", re.sub(r"\s", "%20", url))]
+    return [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"), *target]
+
+
+def response(name: str, url: str | None, payload: bytes, digest: str) -> Iterator[bytes]:
+    """The gzip members of a page's record and its continuations."""
+    block, more = _block(payload), _about(url, digest)
     if len(block) <= SEGMENT_BYTES:
         yield _record("response", name, block, *more)
         return
@@ -87,36 +87,57 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
             yield _record("continuation", f"{name[:-1]}:{n}>", part, ("WARC-Segment-Origin-ID", name), number, *end)
 
 
-def write(decided: DataFrame, folder: str) -> DataFrame:
-    """Write archives into ``folder``, a URI that all executors reach; the result (path, n_records) names the files of tasks that ended."""
+def revisit(name: str, url: str | None, digest: str, payload_bytes: int, response_name: str) -> bytes:
+    """The gzip member of a page whose payload the record of that name has."""
+    block = _HTTP + b"Content-Length: %d\r\n\r\n" % payload_bytes
+    return _record("revisit", name, block, *_about(url, digest), ("WARC-Refers-To", response_name), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+
+
+def _write(rows: DataFrame, folder: str, members: Callable[..., Iterable[bytes]]) -> DataFrame:
+    """Write the members of each row into archives; (path, page_id, digest, name) of each record. rows: page_id, digest and what members takes after the name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, base = pyarrow.fs.FileSystem.from_uri(folder)
         place.create_dir(base, recursive=True)
-        stream = path = tag = None
-        n = size = 0
+        stream, done = None, []
 
         def end() -> pa.RecordBatch:
             stream.close()
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_records"])
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*done), (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "page_id", "digest", "name"])
 
         for batch in batches:
-            columns = [batch.column(k) for k in range(5)]
+            columns = [batch.column(k) for k in range(batch.num_columns)]
             for k in range(batch.num_rows):  # row by row: a batch may hold much
-                for member in records(*(c[k].as_py() for c in columns), f"{uuid.uuid4().hex}"):
-                    if stream is None:
-                        tag = uuid.uuid4().hex
-                        path, n, size = f"{base}/pages-{tag}.warc.gz", 0, 0
-                        stream = place.open_output_stream(path, compression=None)
+                page_id, digest, *more = (c[k].as_py() for c in columns)
+                name = new_name(page_id)
+                if stream is None:
+                    path, size, done = f"{base}/pages-{uuid.uuid4().hex}.warc.gz", 0, []
+                    stream = place.open_output_stream(path, compression=None)
+                for member in members(name, digest, *more):
                     stream.write(member)
-                    n, size = n + 1, size + len(member)
-                    if size >= FILE_BYTES:
-                        yield end()
-                        stream = None
+                    size += len(member)
+                done.append((path, page_id, digest, name))
+                if size >= FILE_BYTES:
+                    yield end()
+                    stream = None
         if stream is not None:
             yield end()
 
-    return decided.mapInArrow(run, "path string, n_records long")
+    return rows.mapInArrow(run, "path string, page_id long, digest string, name string")
+
+
+def write(decided: DataFrame, folder: str) -> DataFrame:
+    """Write archives into ``folder``, a URI that all executors reach; the result (path, page_id, digest, name) names the records of tasks that ended.
+
+    Responses come first, so that each revisit can name the record it refers to.
+    """
+    whole = decided.where("refers_to is null").select("page_id", "digest", "url", "payload")
+    responses = written(_write(whole, folder, lambda name, digest, url, payload: response(name, url, payload, digest)), "responses")
+    again = written(decided.where("refers_to is not null").select("page_id", "digest", "url", "payload_bytes"), "again")
+    visits = again.groupBy("digest").agg(F.count("*").alias("n"))
+    names = responses.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "name")).alias("of")).join(visits, "digest").selectExpr("digest", "of.name as of", "n")
+    named = hot_join(again, names, ["digest"], again.count()).select("page_id", "digest", "url", "payload_bytes", "of")
+    return responses.unionByName(_write(named, folder, lambda name, digest, url, size, of: [revisit(name, url, digest, size, of)]))
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -185,7 +206,7 @@ def _row(headers: dict[str, str], block: bytes | None, problem: str | None = Non
 
 
 _ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("problem", pa.string())])
-_PARTS = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+_SCANNED = pa.schema([*_ARROW, ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("headers", pa.map_(pa.string(), pa.string()))])
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, weight: int) -> Iterator[pa.RecordBatch]:
@@ -202,35 +223,36 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, weight: int) -> Iterator[
 
 
 def read(manifest: DataFrame, root: str) -> DataFrame:
-    """``RECORD`` rows of all records in the archives that the manifest names; root: a URI of their file system."""
+    """``RECORD`` rows of all records in the archives that the manifest names; root: a URI of their file system.
 
-    def scan(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[tuple[dict[str, str], bytes]]:
-        place, _ = pyarrow.fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with place.open_input_stream(path, compression=None) as stream:
-                    yield from (x for x in parse(stream) if ("warc-segment-number" in x[0]) == segmented)
+    Each archive is read once, in a task of its own. Only segments are shuffled.
+    """
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches((_row(h, b) for h, b in scan(batches, False)), _ARROW, 6)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, _ = pyarrow.fs.FileSystem.from_uri(root)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for h, b in scan(batches, True):
-                total = h.get("warc-segment-total-length")
-                first = h["warc-type"] != "continuation"
-                yield h["warc-record-id"] if first else h.get("warc-segment-origin-id"), int(h["warc-segment-number"]), int(total) if total else None, list(h.items()) if first else None, b
-
-        return _batches(rows(), _PARTS, 4)
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    with place.open_input_stream(path, compression=None) as stream:
+                        for h, b in parse(stream):
+                            if "warc-segment-number" not in h:
+                                yield (*_row(h, b), None, None, None, None)
+                                continue
+                            total, first = h.get("warc-segment-total-length"), h["warc-type"] != "continuation"
+                            origin = h["warc-record-id"] if first else h.get("warc-segment-origin-id")
+                            yield (*[None] * 6, b, None, origin, int(h["warc-segment-number"]), int(total) if total else None, list(h.items()) if first else None)
+
+        return _batches(rows(), _SCANNED, 6)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches((_assembled(*(c[k].as_py() for c in batch.columns)) for batch in batches for k in range(batch.num_rows)), _ARROW, 6)
 
-    spread = manifest.select("path").repartition(F.col("path"))
-    segments = spread.mapInArrow(parts, "origin string, number int, total long, headers map<string,string>, block binary")
+    paths = manifest.select("path").distinct()
+    found = written(paths.repartition(max(1, paths.count()), "path").mapInArrow(scan, RECORD + ", origin string, number int, total long, headers map<string,string>"), "scanned")
     # a group is the segments of one record, never more than its page
-    grouped = segments.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "headers", "block")).alias("segments"))
-    return spread.mapInArrow(whole, RECORD).unionByName(grouped.mapInArrow(join, RECORD))
+    grouped = found.where("number is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "headers", F.col("payload").alias("block"))).alias("segments"))
+    return found.where("number is null").select(*_ARROW.names).unionByName(grouped.mapInArrow(join, RECORD))
 
 
 def _assembled(origin: str | None, segments: list[dict]) -> tuple:
@@ -258,9 +280,8 @@ def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 def digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Length and digest are those of the payload that was read; of a revisit, those that its record states."""
-    return archive(spark, pages).selectExpr(
-        "page_id", "payload_bytes", "case when record_type = 'revisit' then digest else sha2(payload, 256) end as payload_digest", "record_type", "refers_to", "problem"
-    )
+    records = archive(spark, pages).withColumn("own", F.sha2("payload", 256))
+    return records.selectExpr("page_id", "payload_bytes", "case when record_type = 'revisit' then digest else own end as payload_digest", "record_type", "refers_to", "problem")
 
 
 ORACLE = f"""

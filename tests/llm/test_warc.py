@@ -34,8 +34,23 @@ def test_segments_over_files(spark, monkeypatch):
     assert bytes(got).decode() == BIG
 
 
+def test_revisits_name_a_record_that_is_there(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
+    manifest = warc.written(warc.write(warc.with_decisions(pages), f"file://{tmp_path}"))
+    found = {}
+    for path in tmp_path.iterdir():
+        with open(path, "rb") as stream:
+            found |= {h["warc-record-id"]: h for h, _ in warc.parse(stream)}
+    visits = [h for h in found.values() if h["warc-type"] == "revisit"]
+    assert len(visits) == sum(r[3] == "revisit" for r in expected())
+    for h in visits:
+        target = found[h["warc-refers-to"]]
+        assert target["warc-type"] == "response" and target["warc-payload-digest"] == h["warc-payload-digest"]
+    assert manifest.count() == len(PAGES) == manifest.select("name").distinct().count()
+
+
 def segments(payload=BIG.encode()):
-    members = list(warc.records(7, "http://f", payload, "d", None, "t"))
+    members = list(warc.response("<urn:page:7:t>", "http://f", payload, "d"))
     return [x for m in members for x in warc.parse(io.BytesIO(m))]
 
 
@@ -64,6 +79,6 @@ def test_chunk_extensions_and_identity():
     assert warc.unframe(b"nothing")[2]
 
 
-def test_decisions_are_salted_but_whole(spark):
+def test_decisions_about_a_hot_payload_are_whole(spark):
     many = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("y" * 200).alias("html"))
     assert warc.with_decisions(many).where("refers_to = 0").count() == 2999
