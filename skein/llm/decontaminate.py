@@ -24,13 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER, Powers, flat, map_arrow, mix, pieces, word_spans, written
+from skein.llm.common import LOWER, Powers, flat, hot_join, map_arrow, mix, pieces, word_spans, written
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of the shingle filter (2 MB). More shingles than bits make it less sharp; results stay exact.
 FILTER_BITS = 24
-#: Copies of the prefix table: a shingle that a third of all stretches hold is spread over so many keys.
-SALTS = 16
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
@@ -132,13 +130,14 @@ def matches(windows: DataFrame, found: DataFrame, grams: list[int]) -> DataFrame
     spans = found.where("stretches is not null").select("key", F.explode("stretches").alias("s")).selectExpr("key", "s.start as start", "s.words as words")
     shingles = spans.withColumn("gram", F.explode(F.array(*map(F.lit, grams)).cast("array<int>"))).where("size(words) >= gram")
     shingles = shingles.selectExpr("*", "posexplode(transform(sequence(0, size(words) - gram), i -> xxhash64(slice(words, i + 1, gram)))) as (at, token)")
-    often = shingles.groupBy("token").agg(F.count("*").alias("n"))
+    often = written(shingles.groupBy("token").agg(F.count("*").alias("n")), "often")
     one = windows.selectExpr("item_id", "words as window", "gram", "posexplode(transform(sequence(0, size(words) - gram), i -> xxhash64(slice(words, i + 1, gram)))) as (offset, token)")
     known = one.join(often, "token")  # a window of which a shingle is nowhere is nowhere
     complete = known.groupBy("item_id", "window", "gram").agg(F.count("*").alias("there"), F.min(F.struct("n", "offset", "token")).alias("rarest")).where("there = size(window) - gram + 1")
-    prefixes = complete.selectExpr("item_id", "window", "gram", "rarest.offset as offset", "rarest.token as token", f"explode(sequence(0, {SALTS - 1})) as salt")
-    placed = shingles.withColumn("salt", F.expr(f"cast(pmod(xxhash64(key, start), {SALTS}) as int)"))
-    near = placed.join(prefixes, ["token", "gram", "salt"]).where("at >= offset and at - offset + size(window) <= size(words)")
+    prefixes = written(complete.selectExpr("gram", "rarest.token as token", "rarest.n as n", "item_id", "window", "rarest.offset as offset"), "prefixes")
+    rows = often.agg(F.sum("n")).first()[0] or 0
+    # a shingle that a great part of all stretches holds stays where it is; its windows go there
+    near = hot_join(shingles, prefixes, ["token", "gram"], rows).where("at >= offset and at - offset + size(window) <= size(words)")
     exact = near.where("slice(words, cast(at - offset as int) + 1, size(window)) = window")
     return exact.selectExpr("key", "item_id", "start + at - offset as start", "size(window) as size").distinct()
 

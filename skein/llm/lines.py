@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import hot_join, written
 from skein.llm.ordermin import let
 
 MIN_WORDS = 50
@@ -53,11 +54,13 @@ def _content(hashes: Column) -> Column:
 
 def repeated_runs(found: DataFrame) -> DataFrame:
     """(id, th, runs): for each row with lines to delete, the maximal runs (first, last) of them, in order."""
-    place = F.struct("id", "th", F.col("mark.pos").alias("pos"))
-    marks = found.groupBy(F.col("mark.x").alias("x")).agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least != most").select("x")
-    met = found.withColumn("x", F.col("mark.x")).join(marks, "x").select("content", F.struct("id", "th", "first").alias("at"), "last")
-    earliest = met.groupBy("content").agg(F.min("at").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = met.join(earliest, "content").where("at > earliest").selectExpr("at.id as id", "at.th as th", "at.first as first", "last")
+    found = written(found, "windows")  # read three times
+    rows, place = found.count(), F.struct("id", "th", F.col("mark.pos").alias("pos"))
+    marks = found.groupBy(F.col("mark.x").alias("x")).agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count("*").alias("n")).where("least != most").select("x", "n")
+    met = hot_join(found.withColumn("x", F.col("mark.x")), written(marks, "marks"), ["x"], rows).select("content", F.struct("id", "th", "first").alias("at"), "last")
+    met = written(met, "met")
+    earliest = met.groupBy("content").agg(F.min("at").alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    later = hot_join(met, written(earliest, "earliest"), ["content"], rows).where("at > earliest").selectExpr("at.id as id", "at.th as th", "at.first as first", "last")
     later = later.groupBy("id", "th", "first").agg(F.max("last").alias("last"))
     row = Window.partitionBy("id", "th").orderBy("first")
     later = later.withColumn("reached", F.max("last").over(row.rowsBetween(Window.unboundedPreceding, -1)))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER, Powers, flat, map_arrow, mix, pieces, word_spans, written
+from skein.llm.common import LOWER, Powers, flat, hot_join, map_arrow, mix, pieces, word_spans, written
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 PLAN_ROWS = 3000
@@ -171,17 +171,18 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component, n_links) of each row: n_links counts the other fingerprints that its own links to."""
     marked = written(fingerprints(docs, key, text), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "classes")
-    n = classes.count()
+    classes = written(marked.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "classes")
+    n, rows = classes.count(), marked.count()
     sample = classes.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_ROWS).select("fp").collect()
     if n < 2:
-        return marked.join(classes.selectExpr("fp", "first as component", "0L as n_links"), "fp").select(key, "fp", "component", "n_links")
+        return hot_join(marked, classes.selectExpr("fp", "first as component", "0L as n_links", "n"), ["fp"], rows).select(key, "fp", "component", "n_links")
     groups = plan(np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64), n, distance)
     edges = written(links(classes, groups, distance), "links")
     degree = edges.selectExpr("a as fp").union(edges.selectExpr("b as fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    rooted = classes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "first", "coalesce(root, fp) as root")
+    rooted = classes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "first", "n", "coalesce(root, fp) as root")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").join(degree, "fp", "left")
-    return marked.join(named.selectExpr("fp", "component", "coalesce(n_links, 0L) as n_links"), "fp").select(key, "fp", "component", "n_links")
+    named = written(named.selectExpr("fp", "component", "coalesce(n_links, 0L) as n_links", "n"), "named")
+    return hot_join(marked, named, ["fp"], rows).select(key, "fp", "component", "n_links")
 
 
 def marked_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -241,7 +242,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component): the least key of all rows whose texts are linked with the row's, directly or not."""
     marked = written(marked_texts(docs, key, text), "texts")
-    classes = written(marked.groupBy("c").agg(F.min(key).alias("first"), F.first("fp").alias("fp")), "classes")
+    classes = written(marked.groupBy("c").agg(F.min(key).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")), "classes")
     prints = classes.select("fp").distinct()
     n = prints.count()
     sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_ROWS).collect()
@@ -257,9 +258,9 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     of = lambda end: roots.selectExpr(f"node as {end}", f"root as r{end}")
     rest = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
     edges = first.union(similar(rest, texts))
-    named = classes.join(components(edges).withColumnRenamed("node", "c"), "c", "left").selectExpr("c", "first", "coalesce(root, c) as root")
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("c", "component")
-    return marked.select(key, "c").join(named, "c").select(key, "component")
+    named = classes.join(components(edges).withColumnRenamed("node", "c"), "c", "left").selectExpr("c", "first", "n", "coalesce(root, c) as root")
+    named = written(named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("c", "component", "n"), "named")
+    return hot_join(marked.select(key, "c"), named, ["c"], marked.count()).select(key, "component")
 
 
 def digest(docs: DataFrame) -> DataFrame:

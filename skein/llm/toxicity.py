@@ -40,7 +40,7 @@ ORDINARY_BYTES, TOXIC_BYTES, BYTES_A_BYTE, LEAST_BYTES = 65_536, 4096, 16, 512
 SEGMENT, STRING = 16, 8
 #: A window of the other half is kept for the next dictionary if its gain is above that of so many ordinary windows in a hundred; so often.
 KEPT_ABOVE, ROUNDS = 98, 2
-_PARAMETERS = zstd.ZstdCompressionParameters(strategy=zstd.STRATEGY_BTOPT, window_log=18, hash_log=17, chain_log=18, search_log=6, min_match=5, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+_PARAMETERS = zstd.ZstdCompressionParameters(strategy=zstd.STRATEGY_BTOPT, window_log=18, hash_log=17, chain_log=18, search_log=5, min_match=5, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
 #: Bytes of the ordinary dictionary before each window: both lengths then hold one match more, and no window is stored uncompressed.
 LEAD_BYTES = 64
 #: The last bytes of a dictionary aren't searched, though training puts there what repeats most; so many others stand behind.

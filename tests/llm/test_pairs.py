@@ -5,7 +5,9 @@ import re
 import numpy as np
 import xxhash
 
-from skein.llm import decontaminate, simhash
+from pyspark.sql import functions as F
+
+from skein.llm import common, decontaminate, simhash
 from tests.llm.data import BENCH, EDGES, edge_docs, read, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -173,3 +175,13 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(-5, -9)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 160), 100), -5: -9, -9: -9}
+
+
+def test_hot_join_equals_join(spark):
+    left = spark.createDataFrame([("a" if k % 3 else str(k), k) for k in range(9000)] + [(None, -1)], "k string, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k != '3' and k is not null").withColumn("w", F.concat(F.lit("w"), "k"))
+    for how in ("inner", "left"):
+        want = left.join(right.drop("n"), ["k"], how).collect()
+        got = common.hot_join(left, right, ["k"], 9001, how).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+        assert right.where("n > 1000").count() == 1  # so one key took the other way
