@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits and underscores of any script; the same in Java and in RE2.
 WORD = r"([\p{L}\p{N}_]+)"
-ARTICLE = r"^(the|a|an)\s+"
+ARTICLE = r"^\s*(?:the|an|a)\s+(?=\S)"
+#: A dot between two letters, digits or underscores.
+INNER_DOT = r"(?<=[\p{L}\p{N}_])\.(?=[\p{L}\p{N}_])"
 
 
 def tokens(text: Column) -> Column:
@@ -20,10 +26,23 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
 
 
+@F.pandas_udf(T.StringType())
+def unmarked(text: pd.Series) -> pd.Series:
+    """Compatibility forms taken apart (NFKD), marks dropped, case folded. Spark has no function for it; only names go through here."""
+
+    def one(x: str | None) -> str | None:
+        if x is None or x.isascii():
+            return x if x is None else x.lower()
+        return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold()
+
+    return text.map(one)
+
+
 def normal_name(text: Column) -> Column:
-    """A name for comparison: lower case, no leading article, other signs than letters and digits as one space, 200 characters at most."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(collapse(text), ARTICLE, ""), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.length(plain) <= 200, plain).otherwise(F.concat(F.substring(plain, 1, 200), F.lit("#"), F.substring(F.sha2(plain, 256), 1, 16)))
+    """A name for comparison: marks and case folded, one leading article off, dots inside words off, other signs than letters and digits as one space; behind 200 characters a digest."""
+    plain = F.regexp_replace(F.regexp_replace(unmarked(text), ARTICLE, ""), INNER_DOT, "")
+    plain = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    return F.when(F.length(plain) <= 200, plain).otherwise(F.concat(F.substring(plain, 1, 200), F.lit("~"), F.substring(F.sha2(plain, 256), 1, 16)))
 
 
 def merge_key(label: Column, name: Column) -> Column:

@@ -8,23 +8,41 @@ from pyspark.sql import functions as F
 from skein.functions import text as tx
 
 
+#: A blank line ends a paragraph; it may hold spaces and tabs.
+BLANK_LINES = r"\n[ \t]*\n+"
+LINES = r"\n"
+
+
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, content_hash, position, char_start, char_end, chunk_text, chunk_id): the lines that hold more than spaces, trimmed, with offsets.
+    """(doc_id, content_hash, position, char_start, char_end, chunk_text, chunk_id): the paragraphs between blank lines, trimmed, with offsets.
 
-    Offsets count code points of the whole text. They come from a running sum over a document's own lines, so the
-    one shuffle is by document.
+    Line ends are LF, as the readers leave them. Offsets count code points of the whole text. They come from a running sum
+    over a document's own parts, so the one shuffle is by document. Null and blank texts have no paragraph.
     """
-    lines = docs.select(F.col(key).alias("doc_id"), F.sha2(text, 256).alias("content_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    placed = lines.withColumn("line_start", F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("line") - 1)
-    placed = placed.withColumn("chunk_text", F.trim("line")).where("chunk_text != ''").withColumn("lead", F.length("line") - F.length(F.ltrim("line")))
+    return _units(docs, key, text, BLANK_LINES, r"\s")
+
+
+def line_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same for the lines of a text that hold more than spaces: for sources that write a record a line."""
+    return _units(docs, key, text, LINES, " ")
+
+
+def _units(docs: DataFrame, key: str, text: str, gap: str, blank: str) -> DataFrame:
+    own = docs.select(F.col(key).alias("doc_id"), F.sha2(text, 256).alias("content_hash"), F.col(text).alias("t"))
+    gaps = F.transform(F.regexp_extract_all("t", F.lit(f"({gap})"), F.lit(1)), lambda g: F.length(g))
+    parts = own.select("doc_id", "content_hash", F.posexplode(F.arrays_zip(F.split("t", gap).alias("part"), gaps.alias("gap"))).alias("n", "p"))
+    parts = parts.select("doc_id", "content_hash", "n", F.col("p.part").alias("part"), F.coalesce("p.gap", F.lit(0)).alias("gap"))
+    order = Window.partitionBy("doc_id").orderBy("n")
+    placed = parts.withColumn("start", F.sum(F.length("part") + F.col("gap")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("part") - F.col("gap"))
+    front = F.regexp_replace("part", f"^{blank}+", "")
+    placed = placed.withColumns({"lead": F.length("part") - F.length(front), "chunk_text": F.regexp_replace(front, f"{blank}+$", "")}).where("chunk_text != ''")
     placed = placed.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
     return placed.select(
         "doc_id",
         "content_hash",
         "position",
-        (F.col("line_start") + F.col("lead")).cast("long").alias("char_start"),
-        (F.col("line_start") + F.col("lead") + F.length("chunk_text")).cast("long").alias("char_end"),
+        (F.col("start") + F.col("lead")).cast("long").alias("char_start"),
+        (F.col("start") + F.col("lead") + F.length("chunk_text")).cast("long").alias("char_end"),
         "chunk_text",
         F.concat_ws(":", F.col("doc_id").cast("string"), F.col("position").cast("string")).alias("chunk_id"),
     )

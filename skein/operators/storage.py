@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -15,8 +16,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + _own_folder()
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a local one, and on a cluster an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
+    base = base or "file://" + _own_folder()
     return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
 
 

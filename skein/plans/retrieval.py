@@ -30,7 +30,7 @@ TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
 def _chunks(t: Tables) -> DataFrame:
-    return ch.paragraphs(t.documents)
+    return ch.line_chunks(t.documents)
 
 
 def _versions(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -102,7 +102,7 @@ def test_store(spark, tmp_path):
 def test_engine(spark, tmp_path):
     names = spark.createDataFrame([("Person", "Ann"), ("Person", "Bob"), ("Organization", "Acme"), ("Location", "Bree")], "label string, name string")
     g = GraphEngine(spark, f"file://{tmp_path}/g", names=names)
-    docs = spark.createDataFrame([("a", "Ann works at Acme.\nBob lives in Bree."), ("b", "Acme is in Bree.")], "doc_id string, text string")
+    docs = spark.createDataFrame([("a", "Ann works at Acme.\n \nBob lives in Bree."), ("b", "Acme is in Bree.")], "doc_id string, text string")
     g.add(docs, "2024-01-01")
     assert g.chunks().count() == 3 and g.search_passages("acme bree").first()["chunk_id"] == "b:0"
     assert g.search_passages("acme", scope=["a"]).count() == 1

@@ -6,9 +6,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
+from skein.operators import chunks as ch
 from skein.operators import evaluate as ev
 from skein.operators import graph as gr
 from skein.operators import history as hs
+from skein.operators import lookups as lk
 from skein.operators import merge as mg
 from skein.operators import resolve as rs
 from skein.operators import search as se
@@ -21,9 +23,9 @@ def test_uuid5(spark):
 
 
 def test_names(spark):
-    rows = [("The  Acme-Corp.", "acme corp"), ("a b", "b"), ("Zoë & Söhne", "zoë söhne"), ("x" * 201, None), (None, None)]
+    rows = [("The  Acme-Corp.", "acme corp"), ("a b", "b"), ("Zoë & Söhne", "zoe sohne"), ("x" * 201, None), (None, None), ("Straße 1", "strasse 1"), ("S.A.P. ﬁn", "sap fin"), ("the", "the")]
     got = [r["n"] for r in spark.createDataFrame(rows, "t string, w string").select(tx.normal_name(F.col("t")).alias("n")).collect()]
-    assert got[:3] == [w for _, w in rows[:3]] and len(got[3]) == 217 and got[4] is None
+    assert got[:3] + got[5:] == [w for _, w in rows[:3] + rows[5:]] and len(got[3]) == 217 and got[4] is None
 
 
 def test_properties(spark):
@@ -158,3 +160,28 @@ def test_assignment(spark):
 def test_tight_clusters(spark):
     rows = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.96), ("a", "c", 0.8), ("x", "y", 0.97)], "a string, b string, cosine double")
     assert {r["id"]: r["cluster"] for r in rs.tight_clusters(rows).collect()} == {"a": "a", "b": "a", "c": "c", "x": "x", "y": "x"}
+
+
+def test_paragraphs_end_at_blank_lines(spark):
+    docs = [(1, "one\ntwo\n\n  three\n \t\n\nfour \n"), (2, None), (3, " \n\n "), (4, ""), (5, "\n\nx"), (6, "é\n\n\n\n日本")]
+    got = [(r["doc_id"], r["position"], r["char_start"], r["char_end"], r["chunk_text"]) for r in ch.paragraphs(spark.createDataFrame(docs, "doc_id int, text string")).collect()]
+    assert sorted(got) == [(1, 0, 0, 7, "one\ntwo"), (1, 1, 11, 16, "three"), (1, 2, 21, 25, "four"), (5, 0, 2, 3, "x"), (6, 0, 0, 1, "é"), (6, 1, 5, 7, "日本")]
+    text = dict(docs)
+    assert all(text[i][a:b] == t for i, _, a, b, t in got)
+
+
+def test_sections_nest(spark):
+    depths = [0, 1, 2, 2, 1, 3, 0, 2, 1]
+    rows = spark.createDataFrame([(1, k, d, f"h{k}") for k, d in enumerate(depths)], "doc int, idx long, depth int, heading string")
+    got = {r["idx"]: (r["parent"], r["path"]) for r in lk.heading_paths(rows, "doc", "idx", "depth", "heading", 3).collect()}
+    assert got == {0: (None, ["h0"]), 1: (0, ["h0", "h1"]), 2: (1, ["h0", "h1", "h2"]), 3: (1, ["h0", "h1", "h3"]), 4: (0, ["h0", "h4"]), 5: (4, ["h0", "h4", "h5"]), 6: (None, ["h6"]), 7: (6, ["h6", "h7"]), 8: (6, ["h6", "h8"])}
+
+
+def test_lookups_take_nulls_and_empty_tables(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string")
+    ids = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
+    assert lk.by_ids(rows, ids, "k").count() == 2 and lk.by_ids(rows, ids.where("false"), "k").count() == 0
+    assert sorted(map(tuple, lk.existing(ids, rows, "k").collect())) == [(1, True), (2, False)]
+    assert lk.currency(ids.where("k = 2").distinct(), rows.selectExpr("k", "cast(null as date) as invalid_at"), "k").first()["live"] is False
+    capped = lk.capped(rows, ["v"], 2).collect()
+    assert [(r["v"], r["total"]) for r in capped] == [("a", 3), ("b", 3)] and lk.capped(rows.where("false"), ["v"], 2).count() == 0
