@@ -1,14 +1,17 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text's k-mers are its runs of ``K`` words, numbered by occurrence, so that a repeated one counts each time. One hash
-ranks them; its top bits deal them into ``BINS`` bins, and of each bin the two minimal ones are taken, put back into text
-order and hashed as a tuple. Two fingerprints are as like as the share of bins, among those either fills, with equal tuples:
-this falls with edits and with moved passages alike. (Bins under one permutation stand for as many permutations: a word
-is hashed once, whatever the number of bins.)
-
-Defined results: null text is as empty; a text without words has no filled bin, an empty fingerprint, and is like another
-such text only (1.0); fewer than ``K`` words make one k-mer of them all; places from 2^24 words on count as equal; rows
-with equal doc_id and text count once in the order of documents and are all returned; a null doc_id sorts first.
+A text's k-mers are its runs of ``K`` words, numbered by occurrence, so that a repeated one counts each time. One hash ranks
+them, and ``BINS`` permutations order them: the hash xor a constant whose top bits are the permutation's number, each a
+bijection of the hashes under which every k-mer is equally likely to be least. Of each permutation the two minimal k-mers
+are taken, put back into text order and hashed as a tuple. Two fingerprints are as like as the share of permutations with
+equal tuples: this falls with edits and with moved passages alike. (Where two hashes or more share a permutation's top bits,
+its minimal ones are the least of those, so one sorted array serves all permutations.)
+
+Defined results: null text is as empty; a text without words has an empty fingerprint, and is like another such text only
+(1.0); fewer than ``K`` words make one k-mer of them all, and a text of one k-mer has tuples of one; k-mers count as equal
+if ``64 - PLACE_BITS`` bits of their hashes are; places from 2^24 words on count as equal; rows with equal doc_id and text
+count once in the order of documents and are all returned; a null doc_id sorts first; an empty table gives an empty one;
+other columns are ignored by ``digest`` and pass unchanged through ``fingerprints``.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from skein.llm.common import written
 K, BIN_BITS, PLACE_BITS = 5, 5, 24
 BINS = 1 << BIN_BITS
 _PLACES = (1 << PLACE_BITS) - 1
+#: The number of each permutation in the top bits, as a signed long.
+_CONSTANTS = [(j << (64 - BIN_BITS)) - (1 << 64 if j >= BINS // 2 else 0) for j in range(BINS)]
 _NO_ID = -(1 << 63)
 
 
@@ -48,22 +53,32 @@ def _occurrences(ordered: Column) -> Column:
 
 
 def _tuples(ordered: Column) -> Column:
-    """Of each filled bin: its number in the high bits, the hash of its minimal k-mers in text order below."""
+    """Of each permutation: its number in the high bits, the hash of its minimal k-mers in text order below."""
+    place = lambda x: x.bitwiseAND(F.lit(_PLACES))
+    value = lambda x: F.shiftright(x, PLACE_BITS)
 
-    def one(start: Column, end: Column) -> Column:
-        first, second = F.get(ordered, start), F.when(end - start > 1, F.get(ordered, start + 1))
-        place = lambda x: x.bitwiseAND(F.lit(_PLACES))
-        value = lambda x: F.shiftright(x, PLACE_BITS)
+    def one(two: Column, number: Column) -> Column:
+        first, second = F.get(two, F.lit(0)), F.get(two, F.lit(1))
         swap = place(second) < place(first)
         a, b = F.when(swap, value(second)).otherwise(value(first)), F.when(swap, value(first)).otherwise(value(second))
-        bin_ = (F.shiftright(first, 64 - BIN_BITS) + BINS // 2).cast("long")
-        return F.shiftleft(bin_, 32 - BIN_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), 32 + BIN_BITS))
+        return F.shiftleft(number.cast("long"), 32 - BIN_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), 32 + BIN_BITS))
 
-    return let(_starts(ordered, 64 - BIN_BITS), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: one(F.get(s, i), F.get(s, i + 1))))
+    def minimal(starts: Column, filled: Column) -> Column:
+        def two(constant: Column, number: Column) -> Column:
+            at = F.array_position(filled, number)  # from 1; 0 if no hash has these top bits
+            start = F.get(starts, at.cast("int") - 1)
+            own = F.when((at > 0) & (F.get(starts, at.cast("int")) - start > 1), F.slice(ordered, start + 1, 2))
+            others = F.slice(F.sort_array(F.transform(ordered, lambda x: x.bitwiseXOR(constant))), 1, 2)
+            return F.coalesce(own, F.transform(others, lambda x: x.bitwiseXOR(constant)))
+
+        return F.transform(F.lit(_CONSTANTS), lambda constant, number: let(two(constant, number), lambda t: one(t, number)))
+
+    top = lambda i: (F.shiftright(F.get(ordered, i), 64 - BIN_BITS) + BINS // 2).cast("int")
+    return let(_starts(ordered, 64 - BIN_BITS), lambda s: let(F.transform(F.slice(s, 1, F.size(s) - 1), top), lambda filled: minimal(s, filled)))
 
 
 def signature(text: Column) -> Column:
-    """array<long>: one value of 32 bits for each filled bin, in the order of bins."""
+    """array<long>: one value of 32 bits for each permutation, in their order; empty for a text without words."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
     def kmers(hashes: Column) -> Column:
@@ -78,10 +93,8 @@ def signature(text: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal tuples among the bins that either fills."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 32 - BIN_BITS))
-    either = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Share of permutations with equal tuples."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.lit(BINS))
 
 
 def as_text(signature_: Column) -> Column:
@@ -89,7 +102,7 @@ def as_text(signature_: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """Add the fingerprint as text: eight hex digits a filled bin."""
+    """Add the fingerprint as text: eight hex digits a permutation."""
     return docs.withColumn(out, as_text(signature(F.col(text).cast("string"))))
 
 

@@ -1,4 +1,7 @@
 import hashlib
+import re
+
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -53,14 +56,44 @@ def test_line_dedup_keeps_columns(spark):
     assert got.where("n_chars != length(text)").count() == 0
 
 
-def omh(words, bins=ordermin.BINS):
-    """Distinct (k-mer, occurrence) pairs, to hold the likeness against."""
-    seen, out = {}, set()
+def spark_hash(*values):
+    """Spark's xxhash64: each value is hashed with the hash before it as seed. Strings as UTF-8, longs and ints as bytes; null is passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[1].to_bytes(v[0], "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def long(x):
+    return 8, x - (1 << 64) if x >> 63 else x
+
+
+def omh(text):
+    """The fingerprint by brute force: all numbered k-mers are sorted anew under each permutation."""
+    words = [long(spark_hash(w)) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    if not words:
+        return ""
+    seen, ranked = {}, []
     for j in range(max(1, len(words) - 4)):
-        kmer = tuple(words[j : j + 5])
-        seen[kmer] = seen.get(kmer, 0) + 1
-        out.add((kmer, seen[kmer]))
-    return out
+        kmer = spark_hash(*words[j : j + 5]) >> 24
+        n = seen[kmer] = seen.get(kmer, -1) + 1
+        signed = kmer - (1 << 40) if kmer >> 39 else kmer
+        ranked.append((spark_hash((8, signed), (4, n)) >> 24, j))
+    out = []
+    for number in range(32):
+        least = sorted(ranked, key=lambda r: r[0] ^ (number << 35) ^ (1 << 39))[:2]
+        value = lambda r: (8, r[0] - (1 << 40) if r[0] >> 39 else r[0])
+        tuple_ = spark_hash(*[value(r) for r in sorted(least, key=lambda r: r[1])])
+        out.append(f"{number << 27 | tuple_ >> 37:08x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    docs = [(k, t) for k, (_, t) in enumerate(EDGES + texts()[:80])] + [(900, " ".join(f"w{k % 7}" for k in range(500))), (901, "a b c d e f"), (902, "a b c d e f g")]
+    got = {r["doc_id"]: r["fingerprint"] for r in ordermin.fingerprints(edge_docs(spark, docs)).collect()}
+    assert got == {i: omh(t or "") for i, t in docs}
 
 
 def test_fingerprints(spark):
@@ -81,8 +114,8 @@ def test_fingerprints_sense_order_and_repeats(spark):
     moved = words[200:] + words[:200]
     rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(moved)), (4, " ".join(words * 2)), (5, " ".join(words[:395] + ["q"] * 5)), (6, ""), (7, None), (8, "w1 w2"), (9, "w1  w2 ")]
     got = {r["id"]: r["s"] for r in spark.createDataFrame(rows, "id int, t string").select("id", ordermin.signature(F.col("t")).alias("s")).collect()}
-    like = lambda a, b: len(set(got[a]) & set(got[b])) / max(1, len({x >> 27 for x in got[a] + got[b]}))
-    assert got[1] == got[2] and got[6] == got[7] == [] and got[8] == got[9] and len(got[8]) == 1
+    like = lambda a, b: len(set(got[a]) & set(got[b])) / ordermin.BINS
+    assert got[1] == got[2] and got[6] == got[7] == [] and got[8] == got[9] and len(got[8]) == len(got[1]) == ordermin.BINS
     assert like(1, 5) > 0.8 > like(1, 3) > 0.3  # moved passages keep the k-mers but not their order
     assert like(1, 4) < 0.7  # repeats count: half of its numbered k-mers are new
 
