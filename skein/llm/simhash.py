@@ -141,7 +141,7 @@ def links(classes: DataFrame, groups: list[tuple[int, int]], distance: int = DIS
     for g, (mask, threshold) in enumerate(groups):
         part = f"fp & {_signed(mask)}L" if _signed(mask) != -(1 << 63) else "fp & (-9223372036854775807L - 1L)"
         own = classes.selectExpr(f"{g} as g", f"{part} as part", "fp as b")
-        flips = F.array(*[F.lit(x) for x in _flips(mask, threshold)])
+        flips = F.expr(f"cast(split('{','.join(map(str, _flips(mask, threshold)))}', ',') as array<bigint>)")  # one literal, folded once
         asked = classes.select(F.lit(g).alias("g"), F.expr(part).alias("own"), F.col("fp").alias("a"), F.explode(flips).alias("flip")).selectExpr("g", "own ^ flip as part", "a")
         index, probes = (own, asked) if index is None else (index.unionByName(own), probes.unionByName(asked))
     met = probes.join(index, ["g", "part"]).where(f"a < b and bit_count(a ^ b) <= {distance}")
@@ -256,9 +256,11 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     first = written(similar(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), "first")
     roots = written(components(first), "roots")
     of = lambda end: roots.selectExpr(f"node as {end}", f"root as r{end}")
-    rest = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
-    edges = first.union(similar(rest, texts))
-    named = classes.join(components(edges).withColumnRenamed("node", "c"), "c", "left").selectExpr("c", "first", "n", "coalesce(root, c) as root")
+    rest = written(candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b"), "rest")
+    if not rest.isEmpty():
+        more = written(similar(rest, texts), "more")
+        roots = roots if more.isEmpty() else components(first.union(more))
+    named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").selectExpr("c", "first", "n", "coalesce(root, c) as root")
     named = written(named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("c", "component", "n"), "named")
     return hot_join(marked.select(key, "c"), named, ["c"], marked.count()).select(key, "component")
 
