@@ -5,6 +5,7 @@ Every operator reads its own columns by name and ignores the rest, so extra colu
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,9 +23,11 @@ LOWER[65:91] += 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; a local one is made only where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; where that is unset, a local one (tests), and on a cluster an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
         base = "file://" + _own_folder()
     return f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
 
