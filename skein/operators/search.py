@@ -11,27 +11,27 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as tx
 from skein.functions import vectors as vec
+from skein.operators.storage import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-
-
-def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, size, token, tf): counted within a row, so nothing is shuffled."""
-    bag = texts.select(F.col(key), tx.tokens(F.col(text)).alias("bag")).withColumn("size", F.size("bag"))
-    pairs = bag.select(key, "size", F.explode("bag").alias("token"))
-    return pairs.groupBy(key, "size", "token").agg(F.count("*").alias("tf"))
+#: Begins what stands for a text itself among its tokens, spread over many values.
+MARK = "\0"
 
 
 def bm25(texts: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
     """(query_id, key, score) of rows that hold any token of a query. queries: (query_id, query).
 
-    Only tokens that some query asks for are counted and joined; the corpus adds its size and mean length, two numbers.
+    The texts are read and cut into tokens once: the counts of asked tokens are written, with one row more a text that
+    carries its size, from which the corpus's size and mean length come.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("token"))
     bags = texts.select(F.col(key), tx.tokens(F.col(text)).alias("bag")).withColumn("size", F.size("bag"))
-    whole = bags.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    tf = bags.select(key, "size", F.explode("bag").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy(key, "size", "token").agg(F.count("*").alias("tf"))
+    tokens = bags.select(key, "size", F.explode(F.concat("bag", F.array(F.concat(F.lit(MARK), F.pmod(F.xxhash64(key), F.lit(4096)).cast("string"))))).alias("token"))
+    known = tokens.join(asked.select("token").distinct().withColumn("asked", F.lit(True)), "token", "left").where(F.col("asked") | F.col("token").startswith(MARK))
+    counts = cut(known.groupBy(key, "size", "token").agg(F.count("*").alias("tf")))
+    whole = counts.where(F.col("token").startswith(MARK)).agg(F.sum("tf").alias("n"), (F.sum(F.col("size") * F.col("tf")) / F.sum("tf")).alias("mean"))
+    tf = counts.where(~F.col("token").startswith(MARK))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     weighed = df.join(F.broadcast(whole)).select("token", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # whole: one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
