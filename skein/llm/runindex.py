@@ -13,7 +13,8 @@
    its strings are hashed one by one (128 bits) and counted, pre-aggregated, over all tasks.
 
 Defined results: null text is as empty; matches never cross rows; rows that repeat count as other places, so all of a
-repeated row of ``LENGTH`` bytes or more goes; a null doc_id is a document like any other.
+repeated row of ``LENGTH`` bytes or more goes; a null doc_id is a document like any other; an empty table gives an empty
+one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
