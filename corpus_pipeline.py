@@ -20,14 +20,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labelled rows of ``docs`` that aren't held out."""
+    """Documents that the classifier rejects go. It learns from the labelled rows of ``docs`` that aren't held out.
+
+    Null text is scored as empty; repeated rows get one score each, the same; a score of exactly 0.5 stays; where no row is
+    labelled every score is 0.5, so all stay; an empty table gives an empty one.
+    """
     labels = table(spark, sf_dir, "labels")
     fitted = nbsvm.model(docs, labels, "quality", ~nbsvm.held_out("id", 3, 1))
     return nbsvm.score(docs.select(*COLUMNS), fitted, "__quality").where("__quality >= 0.5").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go from the texts; a document of which nothing but white space is left goes too."""
+    """Later repeats of runs of lines go from the texts; a document of which nothing but white space is left goes too.
+
+    Null text stays null; documents that were blank before stay; rows with equal id and text count once and get the same
+    result; an empty table gives an empty one.
+    """
     clean = lines.dedup_lines(docs.select(*COLUMNS))
     return clean.where("n_removed = 0 or trim(text) != ''").select(*COLUMNS)
 
@@ -49,7 +57,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and wordless texts hold none and stay; repeated rows are kept or go together; of several texts under one id, or
+    without id, each is judged by itself; an empty table gives an empty one.
+    """
     keyed = _keyed(docs)
     found = decontaminate.decontaminate(keyed.select(F.concat_ws(":", "__id", "__th").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     hit = found.where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
@@ -57,7 +69,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens) of each document, after its ids have been decoded again and compared with its text."""
+    """(doc_id, ids, n_tokens) of each row, after its ids have been decoded again and compared with its text.
+
+    Null and empty texts have no ids; repeated rows are coded each; an empty table gives an empty one.
+    """
     path = public_tokenizers.path(BPE_RANKS)
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
