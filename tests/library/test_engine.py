@@ -99,6 +99,23 @@ def test_store(spark, tmp_path):
     assert store.recover() == [] and store.table("u") is None
 
 
+def test_only_one_job_gets_a_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    one, two = store.begin(), store.begin()
+    one.stage("t", spark.range(3))
+    two.stage("t", spark.range(9))
+    stale = store.manifest()
+    one.publish()
+    store._replace(stale)  # as if the second job had read the manifest before the first replaced it
+    with pytest.raises(RuntimeError):
+        two.publish()
+    store.recover()  # the claim without a manifest goes
+    three = store.begin()
+    three.stage("t", spark.range(5))
+    three.publish()
+    assert store.table("t").count() == 5 and store.manifest()["version"] == 1
+
+
 def test_engine(spark, tmp_path):
     names = spark.createDataFrame([("Person", "Ann"), ("Person", "Bob"), ("Organization", "Acme"), ("Location", "Bree")], "label string, name string")
     g = GraphEngine(spark, f"file://{tmp_path}/g", names=names)
