@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import pieces
+from skein.llm.common import map_arrow, pieces
 
 #: Bytes of a cache while a task runs (half as much again for pre-tokens of pieces that have several), and the longest key that is kept.
 CACHE_BYTES, CACHE_CHARS = 64_000_000, 64
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
         finally:
             encoder.forget()
 
-    return docs.mapInArrow(run, out)
+    return map_arrow(docs, run, out)
 
 
 def decode_flat(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -274,7 +274,7 @@ def decode(encoded: DataFrame, rank_path: str, ids: str = "ids", out: str = "dec
                 array = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, array.cast(pa.binary())], names=[*batch.schema.names, out])
 
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:

@@ -148,7 +148,7 @@ def model(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound:
         ratios, weights, bias, slope, shift = train(rows, np.array(ys, dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([ratios.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary()), pa.array([bias]), pa.array([slope]), pa.array([float(shift)])], names=["ratios", "weights", "bias", "slope", "shift"])
 
-    got = labelled(docs, labels, label, learn, bound).repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "y").mapInArrow(run, _MODEL).first()
+    got = map_arrow(labelled(docs, labels, label, learn, bound).repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "y"), run, _MODEL).first()
     if got is None:  # no labelled row at all
         return train([], np.zeros(0, np.int64))
     return np.frombuffer(got[0], np.float32), np.frombuffer(got[1], np.float32), got[2], got[3], got[4]
@@ -167,7 +167,7 @@ def score(docs: DataFrame, fitted: tuple, out: str = "score") -> DataFrame:
             scores = 1 / (1 + np.exp(-np.clip(slope * margins + shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType(), True)]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType(), True)]))
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Powers, flat, mix, pieces, written
+from skein.llm.common import Powers, flat, map_arrow, mix, pieces, written
 
 LENGTH, GRAM = 400, 32
 HOT = 500
@@ -85,7 +85,7 @@ def packed(texts: DataFrame) -> DataFrame:
         for batch, column in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t) for t in column.to_pylist()], pa.binary())], names=["dk", "th", "packed"])
 
-    return texts.mapInArrow(run, "dk long, th long, packed binary")
+    return map_arrow(texts, run, "dk long, th long, packed binary")
 
 
 def records(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -112,7 +112,7 @@ def records(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=["anchor", "content", "dk", "th", "first", "last", "n"],
             )
 
-    return texts.mapInArrow(run, "anchor long, content binary, dk long, th long, first long, last long, n long")
+    return map_arrow(texts, run, "anchor long, content binary, dk long, th long, first long, last long, n long")
 
 
 def _cut(members: DataFrame, texts: DataFrame, single_strings: bool, length: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _cut(members: DataFrame, texts: DataFrame, single_strings: bool, length: int
                     c = list(zip(*out[k : k + 20_000]))
                     yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.bool_()), pa.array(c[5], pa.binary())], names=["anchor", "dk", "th", "first", "once", "bytes"])
 
-    return joined.select("dk", "th", "packed", "parts").mapInArrow(run, "anchor long, dk long, th long, first long, once boolean, bytes binary")
+    return map_arrow(joined.select("dk", "th", "packed", "parts"), run, "anchor long, dk long, th long, first long, once boolean, bytes binary")
 
 
 class RunIndex:
@@ -266,7 +266,7 @@ def _indexed(cut: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["dk", "th", "first", "last"])
 
     ordered = cut.repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "dk long, th long, first long, last long")
+    return map_arrow(ordered, run, "dk long, th long, first long, last long")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -310,7 +310,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             c = list(zip(*out))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], names=["dk", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = joined.mapInArrow(run, "dk long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = map_arrow(joined, run, "dk long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.select(F.when(F.col("dk") != _NO_ID, F.col("dk")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 

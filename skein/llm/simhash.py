@@ -34,7 +34,7 @@ from skein.llm.common import LOWER, Powers, flat, hot_join, map_arrow, mix, piec
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 PLAN_ROWS = 3000
 #: Of ``near_texts``: words of a shingle that is compared, least similarity, words of a shingle in the fingerprint, bits between candidates.
-NEAR_WORDS, NEAR, NEAR_SHINGLE, NEAR_DISTANCE = 5, 0.8, 2, 8
+NEAR_WORDS, NEAR, NEAR_SHINGLE, NEAR_DISTANCE = 5, 0.8, 2, 6
 _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(NEAR_WORDS)], dtype=np.uint64)
@@ -236,7 +236,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 near = pa.array([jaccard(p, q) >= NEAR for p, q in zip(x, y)], pa.bool_())
                 yield batch.select(["a", "b"]).filter(near)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb"), run, "a binary, b binary")
 
 
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

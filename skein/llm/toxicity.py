@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import LOWER, flat, pieces
+from skein.llm.common import LOWER, flat, map_arrow, pieces
 from skein.llm.nbsvm import chosen_labels, held_out, labelled
 
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_WINDOWS = 4000, 8000, 2000
@@ -198,7 +198,7 @@ def model(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[bytes, byt
         yield pa.RecordBatch.from_arrays([pa.array([base], pa.binary()), pa.array([added], pa.binary()), pa.array([threshold], pa.int32()), pa.array([theta], pa.list_(pa.float64()))], names=["ordinary", "toxic", "threshold", "theta"])
 
     rows = labelled(docs, labels, "toxic", learn, TRAIN_TOXIC, 1).union(labelled(docs, labels, "toxic", learn, TRAIN_ORDINARY, 0))
-    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "y").mapInArrow(run, _MODEL).first()
+    got = map_arrow(rows.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "y"), run, _MODEL).first()
     if got is None:  # no labelled row at all
         return fit([], np.zeros(0, np.int64))
     return bytes(got[0]), bytes(got[1]), got[2], list(got[3])
@@ -217,7 +217,7 @@ def score(docs: DataFrame, fitted: tuple, balance: float, out: str = "score") ->
             scores = 1 / (1 + np.exp(-np.clip(x @ theta + balance, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType(), True)]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType(), True)]))
 
 
 def prior_shift(labels: DataFrame, learn: Column) -> float:

@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import hot_join, shared_folder, written
+from skein.llm.common import hot_join, map_arrow, shared_folder, written
 
 LEAST_BYTES = 100
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 32_768, 4096, 64_000_000
@@ -123,7 +123,7 @@ def _write(rows: DataFrame, folder: str, members: Callable[..., Iterable[bytes]]
         if stream is not None:
             yield end()
 
-    return rows.mapInArrow(run, "path string, page_id long, digest string, name string")
+    return map_arrow(rows, run, "path string, page_id long, digest string, name string")
 
 
 def write(decided: DataFrame, folder: str) -> DataFrame:
@@ -249,10 +249,10 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
         return _batches((_assembled(*(c[k].as_py() for c in batch.columns)) for batch in batches for k in range(batch.num_rows)), _ARROW, 6)
 
     paths = manifest.select("path").distinct()
-    found = written(paths.repartition(max(1, paths.count()), "path").mapInArrow(scan, RECORD + ", origin string, number int, total long, headers map<string,string>"), "scanned")
+    found = written(map_arrow(paths.repartition(max(1, paths.count()), "path"), scan, RECORD + ", origin string, number int, total long, headers map<string,string>"), "scanned")
     # a group is the segments of one record, never more than its page
     grouped = found.where("number is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "headers", F.col("payload").alias("block"))).alias("segments"))
-    return found.where("number is null").select(*_ARROW.names).unionByName(grouped.mapInArrow(join, RECORD))
+    return found.where("number is null").select(*_ARROW.names).unionByName(map_arrow(grouped, join, RECORD))
 
 
 def _assembled(origin: str | None, segments: list[dict]) -> tuple:

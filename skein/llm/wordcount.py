@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bpe import CACHE_BYTES, SHORT_BYTES, Cache, RankQueue
-from skein.llm.common import pieces
+from skein.llm.common import map_arrow, pieces
 
 #: White space to ``str.split`` that Unicode doesn't call so.
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -169,4 +169,4 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         finally:
             counter.forget()
 
-    return narrow.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return map_arrow(narrow, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long")
