@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from skein.llm.common import map_arrow, pieces
 
 #: Bytes of a cache while a task runs (half as much again for pre-tokens of pieces that have several), and the longest key that is kept.
-CACHE_BYTES, CACHE_CHARS = 64_000_000, 64
+CACHE_BYTES, CACHE_CHARS = 40_000_000, 64
 #: Pre-tokens of at most so many bytes merge by a scan of their few ranks, longer ones by the queue; the ids are the same.
 SHORT_BYTES = 16
 _NONE = 1 << 40

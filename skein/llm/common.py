@@ -65,6 +65,21 @@ def hot_join(left: DataFrame, counted: DataFrame, keys: list[str], rows: int, ho
     return left.join(F.broadcast(hot), keys).unionByName(left.join(few, keys, "left_anti").join(cold, keys, how))
 
 
+#: Cells of key hashes; as many longs at most are broadcast.
+CELLS = 1 << 20
+
+
+def apart(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ``keys``, rows whose key certainly isn't): so that only the former must be shuffled.
+
+    Keys are told apart by ``CELLS`` cells of their hash; where nearly all are taken, all rows may be in ``keys``.
+    """
+    cell = F.pmod(F.xxhash64(*on), F.lit(CELLS))
+    cells = written(keys.select(cell.alias("__cell")).distinct(), "cells")
+    placed = rows.withColumn("__cell", cell)
+    return tuple(placed.join(F.broadcast(cells), "__cell", how).drop("__cell") for how in ("left_semi", "left_anti"))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one large_binary array, null as empty."""
     if isinstance(column, pa.ChunkedArray):

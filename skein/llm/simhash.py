@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER, Powers, flat, hot_join, map_arrow, mix, pieces, word_spans, written
+from skein.llm.common import LOWER, Powers, apart, flat, hot_join, map_arrow, mix, pieces, word_spans, written
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 PLAN_ROWS = 3000
@@ -251,7 +251,8 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     ends = near.join(classes.selectExpr("fp as a", "c as x"), "a").join(classes.selectExpr("fp as b", "c as y"), "b").where("a != b or x < y")
     candidates = written(ends.selectExpr("least(x, y) as a", "greatest(x, y) as b"), "candidates")
     asked = candidates.selectExpr("a as c").union(candidates.selectExpr("b as c")).distinct()
-    texts = written(marked.join(asked, "c", "left_semi").groupBy("c").agg(F.first("packed").alias("packed")), "compared")
+    asked = written(asked, "asked")
+    texts = written(apart(marked, asked, ["c"])[0].join(asked, "c", "left_semi").groupBy("c").agg(F.first("packed").alias("packed")), "compared")
     # first, each text against the least of its candidates: that joins most of a group
     first = written(similar(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), "first")
     roots = written(components(first), "roots")
