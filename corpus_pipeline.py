@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontaminate, lines, nbsvm, simhash
-from skein.llm.common import written
+from skein.llm.common import apart, written
 from skein.llm.queries import BPE_RANKS, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -52,8 +52,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = _keyed(docs)
     groups = simhash.near_texts(keyed.select(F.struct("__id", "__th").alias("doc_id"), "text"))
-    kept = groups.where("doc_id = component").select("doc_id.*").distinct()
-    return keyed.join(kept, ["__id", "__th"]).dropDuplicates(["__id", "__th"]).select(*COLUMNS)
+    rows = written(groups.select("doc_id.*", (F.col("doc_id") == F.col("component")).alias("kept")), "groups")
+    # only rows that go or repeat are looked for; the texts of all others stay where they are
+    touched = rows.groupBy("__id", "__th").agg(F.count("*").alias("n"), F.first("kept").alias("kept")).where("n > 1 or not kept")
+    maybe, others = apart(keyed, touched, ["__id", "__th"])
+    kept = rows.where("kept").select("__id", "__th").distinct()
+    found = maybe.join(kept, ["__id", "__th"]).dropDuplicates(["__id", "__th"])
+    return others.select(*COLUMNS).unionByName(found.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +69,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     keyed = _keyed(docs)
     found = decontaminate.decontaminate(keyed.select(F.concat_ws(":", "__id", "__th").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.withColumn("__key", F.concat_ws(":", "__id", "__th")).join(hit, "__key", "left_anti").select(*COLUMNS)
+    hit = written(found.where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct(), "hit")
+    maybe, others = apart(keyed.withColumn("__key", F.concat_ws(":", "__id", "__th")), hit, ["__key"])
+    return others.select(*COLUMNS).unionByName(maybe.join(hit, "__key", "left_anti").select(*COLUMNS))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
