@@ -220,26 +220,25 @@ def splits_at_spaces(pattern: str) -> bool:
     return pattern == public_tokenizers.PATTERN
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], rank_path: str, pattern: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    encoder = encoder_of(rank_path, pattern)
+    code = encoder.encode if splits_at_spaces(pattern) else encoder.by_pattern
+    try:
+        for batch, column in pieces(batches, text):
+            packed = [code(x.decode()) for x in column.to_pylist()]
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+            array = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, ids])
+    finally:
+        encoder.forget()
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add column ``ids`` (array<int>) to ``docs``; a column of that name is replaced."""
     docs = docs.drop(ids)
     out = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)])
-    quick = splits_at_spaces(pattern)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(rank_path, pattern)
-        code = encoder.encode if quick else encoder.by_pattern
-        try:
-            for batch, column in pieces(batches, text):
-                packed = [code(x.decode()) for x in column.to_pylist()]
-                ends = np.cumsum([0, *map(len, packed)]) // 4
-                values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
-                array = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, ids])
-        finally:
-            encoder.forget()
-
-    return map_arrow(docs, run, out)
+    return map_arrow(docs, lambda batches: _encoded(batches, rank_path, pattern, text, ids), out)
 
 
 def decode_flat(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -252,34 +251,52 @@ def decode_flat(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple
     return table[at].tobytes(), ends
 
 
+@lru_cache(maxsize=2)
+def bytes_of(rank_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(where the bytes of each id start, the bytes of all ids)."""
+    words: list[bytes] = [b""] * (max((ranks := load_ranks(rank_path)).values()) + 1)
+    for word, rank in ranks.items():
+        words[rank] = word
+    return np.cumsum([0, *map(len, words)]), np.frombuffer(b"".join(words), dtype=np.uint8)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], rank_path: str, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    starts, table = bytes_of(rank_path)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            lists = batch.column(batch.schema.get_field_index(ids))
+            counts = np.asarray(lists.value_lengths().fill_null(0))
+            flat = np.asarray(lists.flatten()).astype(np.int64)
+            data, ends = decode_flat(flat, starts, table)
+            ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+            array = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, array.cast(pa.binary())], names=[*batch.schema.names, out])
+
+
 def decode(encoded: DataFrame, rank_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add column ``out`` (binary): the bytes of the ids; null ids as none. An id outside the vocabulary is an error."""
     encoded = encoded.drop(out)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType(), True)])
+    return map_arrow(encoded, lambda batches: _decoded(batches, rank_path, ids, out), schema)
+
+
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` without column ``text``, in one worker a task: neither texts nor ids go through the JVM between the two."""
+    docs = docs.drop(ids, out)
+    fields = [f for f in docs.schema.fields if f.name != text]
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), True), T.StructField(out, T.BinaryType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = [b""] * (max((ranks := load_ranks(rank_path)).values()) + 1)
-        for word, rank in ranks.items():
-            words[rank] = word
-        starts = np.cumsum([0, *map(len, words)])
-        table = np.frombuffer(b"".join(words), dtype=np.uint8)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                lists = batch.column(batch.schema.get_field_index(ids))
-                counts = np.asarray(lists.value_lengths().fill_null(0))
-                flat = np.asarray(lists.flatten()).astype(np.int64)
-                data, ends = decode_flat(flat, starts, table)
-                ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-                array = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, array.cast(pa.binary())], names=[*batch.schema.names, out])
-
-    return map_arrow(encoded, run, schema)
+        bare = (b.drop_columns([text]) for b in _encoded(batches, rank_path, pattern, text, ids))
+        yield from _decoded(bare, rank_path, ids, out)
+
+    return map_arrow(docs, run, schema)
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    coded = decode(encode(docs.select("doc_id", "text"), rank_path, pattern).drop("text"), rank_path)
+    coded = round_trip(docs.select("doc_id", "text"), rank_path, pattern)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
