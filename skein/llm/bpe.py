@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import map_arrow, pieces
+from skein.llm.common import PIECE_BYTES, map_arrow, pieces
 
 #: Bytes of a cache while a task runs (half as much again for pre-tokens of pieces that have several), and the longest key that is kept.
 CACHE_BYTES, CACHE_CHARS = 40_000_000, 64
@@ -150,6 +150,83 @@ def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+class Pairs:
+    """Which two ids merge into which, in a hash table over arrays; and the merges of many short words at once.
+
+    One step merges, in each word, the leftmost pair of lowest rank, so the ids are those of ``merge``.
+    """
+
+    SLOTS, NONE = 1 << 19, np.iinfo(np.int32).max
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        get = ranks.get
+        self.bytes = np.array([get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        self.whole = bool(self.bytes.min() >= 0)  # each byte has an id
+        splits = [(a << 32 | b, r) for word, r in ranks.items() for i in range(1, len(word)) if (a := get(word[:i])) is not None and (b := get(word[i:])) is not None]
+        keys, found = np.array(splits, dtype=np.int64).reshape(-1, 2).T
+        while 2 * len(keys) > self.SLOTS:
+            self.SLOTS *= 2
+        self.keys, self.found = np.full(self.SLOTS, -1, dtype=np.int64), np.full(self.SLOTS, self.NONE, dtype=np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]], self.found[slot[free]] = keys[left[free]], found[left[free]]  # of several, the last one stays
+            again = self.keys[slot] != keys[left]
+            left, slot = left[again], (slot[again] + 1) % self.SLOTS
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * self._FACTOR >> np.uint64(65 - self.SLOTS.bit_length())).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, or ``NONE``."""
+        keys = a << 32 | b
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.found[slot], self.NONE)
+        open_ = np.flatnonzero((there != keys) & (there != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % self.SLOTS
+            there = self.keys[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.found[slot[open_[hit]]]
+            open_ = open_[~hit & (there != -1)]
+        return out
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as int32 bytes; words have 1 to ``SHORT_BYTES`` bytes."""
+        width = SHORT_BYTES
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        done, ends = np.zeros((len(words), width), dtype="<i4"), size.copy()
+        ids = self.bytes[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width).T]
+        rank = self.find(ids[:-1].ravel(), ids[1:].ravel()).reshape(width - 1, -1)
+        rank[np.arange(1, width)[:, None] >= size] = self.NONE
+        live = np.arange(len(words))
+        while len(live):
+            at = rank.argmin(axis=0)
+            least = rank[at, np.arange(len(live))]
+            over = least == self.NONE
+            if over.any():
+                done[live[over]], ends[live[over]] = ids[:, over].T, size[over]
+                on = ~over
+                ids, rank, size, live, at, least = ids[:, on], rank[:, on], size[on], live[on], at[on], least[on]
+            here = np.arange(len(live))
+            ids[at, here] = least
+            for j in range(1, width - 1):
+                np.copyto(ids[j], ids[j + 1], where=j > at)
+            for j in range(width - 2):
+                np.copyto(rank[j], rank[j + 1], where=j >= at)
+            rank[-1] = self.NONE
+            size -= 1
+            right = self.find(least.astype(np.int64), ids[at + 1, here])
+            rank[at, here] = np.where(at + 1 < size, right, self.NONE)
+            inner = np.flatnonzero(at)
+            before = at[inner] - 1
+            rank[before, inner] = self.find(ids[before, inner], least[inner].astype(np.int64))
+        raw, step = done.tobytes(), 4 * width
+        return [raw[k : k + 4 * n] for k, n in zip(range(0, len(raw), step), ends.tolist())]
+
+
 class Cache(dict):
     """What ``make`` gives for short keys, in two halves: when the newer one is full, it becomes the older one, which goes.
 
@@ -169,19 +246,23 @@ class Cache(dict):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
         if len(key) <= CACHE_CHARS:
             self.room -= getsizeof(key) + getsizeof(value) + SLOT_BYTES
             if self.room < 0:
                 self.old, self.room = dict(self), self.half
                 self.clear()
             self[key] = value
-        return value
 
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.findall = ranks, regex.compile(pattern).findall
         self.spaced, self.words = Cache(self.after_space), Cache(self.pretoken, CACHE_BYTES // 2)
+        self.pairs = Pairs(ranks)
 
     def pretoken(self, word: str) -> bytes:
         raw = word.encode()
@@ -194,6 +275,42 @@ class Encoder:
         words = self.findall(" " + piece)
         return self.pretoken(words[0]) if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
 
+    def codes(self, found: set[str]) -> dict[str, bytes]:
+        """Of each piece that stands behind a space; the first pre-tokens of those not in the cache are merged together, each once, whatever mark follows it."""
+        cached, older, ranks, words = self.spaced.get, self.spaced.old.get, self.ranks, self.words
+        out: dict[str, bytes] = {}
+        cut: list[tuple[str, str, list[str]]] = []
+        again: list[str] = []
+        for piece in found:
+            code = cached(piece)
+            if code is None:
+                code = older(piece)
+                if code is not None:
+                    again.append(piece)
+                elif piece.isascii() and piece.isalpha():
+                    cut.append((piece, " " + piece, []))
+                    continue
+                else:
+                    first, *rest = self.findall(" " + piece)
+                    cut.append((piece, first, rest))
+                    continue
+            out[piece] = code
+        firsts = list({first for _, first, _ in cut})
+        raw = [w.encode() for w in firsts]
+        merged = {w: self.ids(ranks[r]) if r in ranks else self.pretoken(w) for w, r in zip(firsts, raw) if r in ranks or len(r) > SHORT_BYTES or not self.pairs.whole}
+        short = [k for k, w in enumerate(firsts) if w not in merged]
+        merged.update(zip([firsts[k] for k in short], self.pairs.merge([raw[k] for k in short])))
+        for piece, first, rest in cut:
+            out[piece] = merged[first] + b"".join([words[w] for w in rest]) if rest else merged[first]
+            again.append(piece)
+        for piece in again:
+            self.spaced.put(piece, out[piece])
+        return out
+
+    @staticmethod
+    def ids(*ids: int) -> bytes:
+        return array("i", ids).tobytes()
+
     def forget(self) -> None:
         """A worker serves other stages too; what a task has gathered goes with it."""
         self.spaced.forget()
@@ -206,6 +323,15 @@ class Encoder:
         first, *rest = text.split(" ")
         return self.by_pattern(first) + b"".join(map(self.spaced.__getitem__, rest))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each; what no text before had is worked out together, but for texts longer than a piece."""
+        split = [None if len(t) > PIECE_BYTES or _JOINED_SPACE.search(t) else t.split(" ") for t in texts]
+        found: set[str] = set()
+        for parts in split:
+            found.update(parts[1:] if parts else ())
+        get = self.codes(found).__getitem__
+        return [self.encode(t) if parts is None else self.by_pattern(parts[0]) + b"".join(map(get, parts[1:])) for t, parts in zip(texts, split)]
+
 
 @lru_cache(maxsize=2)
 def encoder_of(rank_path: str, pattern: str) -> Encoder:
@@ -222,10 +348,11 @@ def splits_at_spaces(pattern: str) -> bool:
 
 def _encoded(batches: Iterator[pa.RecordBatch], rank_path: str, pattern: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
     encoder = encoder_of(rank_path, pattern)
-    code = encoder.encode if splits_at_spaces(pattern) else encoder.by_pattern
+    quick = splits_at_spaces(pattern)
     try:
         for batch, column in pieces(batches, text):
-            packed = [code(x.decode()) for x in column.to_pylist()]
+            texts = [x.decode() for x in column.to_pylist()]
+            packed = encoder.encode_all(texts) if quick else [*map(encoder.by_pattern, texts)]
             ends = np.cumsum([0, *map(len, packed)]) // 4
             values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
             array = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
@@ -308,5 +435,5 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 def one(texts: Iterable[str], ranks: dict[bytes, int], pattern: str) -> list[list[int]]:
     """Ids of texts without Spark."""
     encoder = Encoder(ranks, pattern)
-    code = encoder.encode if splits_at_spaces(pattern) else encoder.by_pattern
-    return [np.frombuffer(code(t), dtype="<i4").tolist() for t in texts]
+    coded = encoder.encode_all([*texts]) if splits_at_spaces(pattern) else map(encoder.by_pattern, texts)
+    return [np.frombuffer(x, dtype="<i4").tolist() for x in coded]

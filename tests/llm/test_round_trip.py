@@ -1,14 +1,16 @@
 import contextlib
 import io
+import random
 
+import numpy as np
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skein.llm import bpe
 from tests.conftest import DATA
-from tests.llm.data import edge_docs
-from tests.llm.test_tokens import RANKS
+from tests.llm.data import edge_docs, texts
+from tests.llm.test_tokens import ODD, RANKS, library  # noqa: F401
 
 
 def workers(df):
@@ -40,3 +42,23 @@ def test_the_pipeline_notices_wrong_ids(spark, monkeypatch):
         assert "don't decode" in str(error)
     else:
         raise AssertionError("not noticed")
+
+
+def test_merges_of_many_words_equal_single_ones():
+    ranks, rng = bpe.load_ranks(RANKS), random.Random(4)
+    words = [bytes(rng.choice(b"aetionsrh\xc3\xa9 \x00\xff") for _ in range(rng.randrange(1, bpe.SHORT_BYTES + 1))) for _ in range(3000)]
+    words += [b"a" * n for n in range(1, 17)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in bpe.Pairs(ranks).merge(words)] == [bpe.merge(w, ranks) for w in words]
+
+
+def test_texts_together_equal_library(library):  # noqa: F811
+    encoder = bpe.Encoder(bpe.load_ranks(RANKS), P.PATTERN)
+    encoder.spaced.half = encoder.spaced.room = encoder.words.half = encoder.words.room = 3000
+    sample = ODD + [t or "" for _, t in texts()][:80] + ["", " ", "a ", " a", "word word, word. Wört Wört- " + "x" * 90 + " end"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode_all(sample)] == [library.encode_ordinary(t) for t in sample]
+
+
+def test_ranks_without_each_byte():
+    ranks = {bytes([b]): b for b in range(97, 123)} | {b" ": 32, b"ab": 200, b" ab": 201, b"abc": 202}
+    assert bpe.one(["abc ab abca"], ranks, P.PATTERN) == [[202, 201, 201, 99, 97]]
