@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontaminate, lines, nbsvm, simhash
-from skein.llm.common import apart, written
+from skein.llm.common import apart, shuffled, written
 from skein.llm.queries import BPE_RANKS, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     touched = rows.groupBy("__id", "__th").agg(F.count("*").alias("n"), F.first("kept").alias("kept")).where("n > 1 or not kept")
     maybe, others = apart(keyed, touched, ["__id", "__th"])
     kept = rows.where("kept").select("__id", "__th").distinct()
-    found = maybe.join(kept, ["__id", "__th"]).dropDuplicates(["__id", "__th"])
+    found = maybe.join(shuffled(kept), ["__id", "__th"]).dropDuplicates(["__id", "__th"])
     return others.select(*COLUMNS).unionByName(found.select(*COLUMNS))
 
 
@@ -71,7 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = decontaminate.decontaminate(keyed.select(F.concat_ws(":", "__id", "__th").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     hit = written(found.where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct(), "hit")
     maybe, others = apart(keyed.withColumn("__key", F.concat_ws(":", "__id", "__th")), hit, ["__key"])
-    return others.select(*COLUMNS).unionByName(maybe.join(hit, "__key", "left_anti").select(*COLUMNS))
+    return others.select(*COLUMNS).unionByName(maybe.join(shuffled(hit), "__key", "left_anti").select(*COLUMNS))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

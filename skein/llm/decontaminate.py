@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER, Powers, flat, hot_join, map_arrow, mix, pieces, word_spans, written
+from skein.llm.common import LOWER, Powers, flat, hot_join, map_arrow, mix, pieces, shuffled, word_spans, written
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of the shingle filter (2 MB). More shingles than bits make it less sharp; results stay exact.
@@ -132,7 +132,7 @@ def matches(windows: DataFrame, found: DataFrame, grams: list[int]) -> DataFrame
     shingles = shingles.selectExpr("*", "posexplode(transform(sequence(0, size(words) - gram), i -> xxhash64(slice(words, i + 1, gram)))) as (at, token)")
     often = written(shingles.groupBy("token").agg(F.count("*").alias("n")), "often")
     one = windows.selectExpr("item_id", "words as window", "gram", "posexplode(transform(sequence(0, size(words) - gram), i -> xxhash64(slice(words, i + 1, gram)))) as (offset, token)")
-    known = one.join(often, "token")  # a window of which a shingle is nowhere is nowhere
+    known = one.join(shuffled(often), "token")  # a window of which a shingle is nowhere is nowhere
     complete = known.groupBy("item_id", "window", "gram").agg(F.count("*").alias("there"), F.min(F.struct("n", "offset", "token")).alias("rarest")).where("there = size(window) - gram + 1")
     prefixes = written(complete.selectExpr("gram", "rarest.token as token", "rarest.n as n", "item_id", "window", "rarest.offset as offset"), "prefixes")
     rows = often.agg(F.sum("n")).first()[0] or 0
@@ -152,7 +152,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     runs = runs.selectExpr("key", "start", "end", "coalesce(max(end) over (partition by key order by start rows between unbounded preceding and 1 preceding), 0) as reached")
     counted = runs.groupBy("key").agg(F.sum(F.expr("greatest(0L, end - greatest(start, reached))")).alias("n_hit"))
     named = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = found.select("key", "doc_id", "n_words").join(counted.join(named, "key"), "key", "left")
+    out = found.select("key", "doc_id", "n_words").join(shuffled(counted.join(shuffled(named), "key")), "key", "left")
     return out.selectExpr("key", "doc_id", "n_words", "coalesce(n_hit, 0L) as n_hit", "coalesce(items, cast(array() as array<string>)) as items")
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import hot_join, written
+from skein.llm.common import hot_join, shuffled, written
 from skein.llm.ordermin import let
 
 MIN_WORDS = 50
@@ -85,7 +85,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     runs = repeated_runs(windows(docs.select(key, F.col(text).cast("string").alias(text)), key, text, min_words))
     runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
     docs = docs.withColumn(text, F.col(text).cast("string")).withColumn("__th", F.xxhash64(text))
-    joined = docs.join(runs, docs[key].eqNullSafe(runs["__id"]) & (docs["__th"] == runs["__th"]), "left").select(docs["*"], "__runs")
+    joined = docs.join(shuffled(runs), docs[key].eqNullSafe(runs["__id"]) & (docs["__th"] == runs["__th"]), "left").select(docs["*"], "__runs")
     before = F.coalesce(F.size(F.split(text, "\n")).cast("long"), F.lit(0).cast("long"))
     removed = F.coalesce(F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0).cast("long"))
     new = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(let(F.split(text, "\n"), lambda lines: F.array_join(_kept(lines, F.col("__runs")), "\n")))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER, Powers, apart, flat, hot_join, map_arrow, mix, pieces, word_spans, written
+from skein.llm.common import LOWER, Powers, apart, flat, hot_join, map_arrow, mix, pieces, shuffled, word_spans, written
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 PLAN_ROWS = 3000
@@ -144,7 +144,7 @@ def links(classes: DataFrame, groups: list[tuple[int, int]], distance: int = DIS
         flips = F.expr(f"cast(split('{','.join(map(str, _flips(mask, threshold)))}', ',') as array<bigint>)")  # one literal, folded once
         asked = classes.select(F.lit(g).alias("g"), F.expr(part).alias("own"), F.col("fp").alias("a"), F.explode(flips).alias("flip")).selectExpr("g", "own ^ flip as part", "a")
         index, probes = (own, asked) if index is None else (index.unionByName(own), probes.unionByName(asked))
-    met = probes.join(index, ["g", "part"]).where(f"a < b and bit_count(a ^ b) <= {distance}")
+    met = probes.join(shuffled(index), ["g", "part"]).where(f"a < b and bit_count(a ^ b) <= {distance}")
     return met.select("a", "b").distinct()
 
 
@@ -158,9 +158,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
-        edges = both.where("b > a").join(least, "a").selectExpr("b as a", "m as b").where("a > b").distinct()
+        edges = both.where("b > a").join(shuffled(least), "a").selectExpr("b as a", "m as b").where("a > b").distinct()
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = edges.join(least, "a")
+        small = edges.join(shuffled(least), "a")
         edges = written(small.selectExpr("b as a", "m as b").where("a > b").union(least.selectExpr("a", "m as b")).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.expr("xxhash64(a, b) % 1000000007")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
@@ -179,8 +179,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     groups = plan(np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64), n, distance)
     edges = written(links(classes, groups, distance), "links")
     degree = edges.selectExpr("a as fp").union(edges.selectExpr("b as fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    rooted = classes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "first", "n", "coalesce(root, fp) as root")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").join(degree, "fp", "left")
+    rooted = classes.join(shuffled(components(edges).withColumnRenamed("node", "fp")), "fp", "left").selectExpr("fp", "first", "n", "coalesce(root, fp) as root")
+    named = rooted.join(shuffled(rooted.groupBy("root").agg(F.min("first").alias("component"))), "root").join(shuffled(degree), "fp", "left")
     named = written(named.selectExpr("fp", "component", "coalesce(n_links, 0L) as n_links", "n"), "named")
     return hot_join(marked, named, ["fp"], rows).select(key, "fp", "component", "n_links")
 
@@ -225,7 +225,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose texts (c, packed) have a similarity of ``NEAR`` or more."""
-    left, right = texts.selectExpr("c as a", "packed as pa"), texts.selectExpr("c as b", "packed as pb")
+    left, right = shuffled(texts.selectExpr("c as a", "packed as pa")), shuffled(texts.selectExpr("c as b", "packed as pb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, unpack = Powers(), zstandard.ZstdDecompressor().decompress
@@ -248,21 +248,21 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_ROWS).collect()
     same = prints.selectExpr("fp as a", "fp as b")
     near = same if n < 2 else same.union(links(prints, plan(np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64), n, NEAR_DISTANCE), NEAR_DISTANCE))
-    ends = near.join(classes.selectExpr("fp as a", "c as x"), "a").join(classes.selectExpr("fp as b", "c as y"), "b").where("a != b or x < y")
+    ends = near.join(shuffled(classes.selectExpr("fp as a", "c as x")), "a").join(shuffled(classes.selectExpr("fp as b", "c as y")), "b").where("a != b or x < y")
     candidates = written(ends.selectExpr("least(x, y) as a", "greatest(x, y) as b"), "candidates")
     asked = candidates.selectExpr("a as c").union(candidates.selectExpr("b as c")).distinct()
     asked = written(asked, "asked")
-    texts = written(apart(marked, asked, ["c"])[0].join(asked, "c", "left_semi").groupBy("c").agg(F.first("packed").alias("packed")), "compared")
+    texts = written(apart(marked, asked, ["c"])[0].join(shuffled(asked), "c", "left_semi").groupBy("c").agg(F.first("packed").alias("packed")), "compared")
     # first, each text against the least of its candidates: that joins most of a group
     first = written(similar(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), "first")
     roots = written(components(first), "roots")
-    of = lambda end: roots.selectExpr(f"node as {end}", f"root as r{end}")
+    of = lambda end: shuffled(roots.selectExpr(f"node as {end}", f"root as r{end}"))
     rest = written(candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b"), "rest")
     if not rest.isEmpty():
         more = written(similar(rest, texts), "more")
         roots = roots if more.isEmpty() else components(first.union(more))
-    named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").selectExpr("c", "first", "n", "coalesce(root, c) as root")
-    named = written(named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("c", "component", "n"), "named")
+    named = classes.join(shuffled(roots.withColumnRenamed("node", "c")), "c", "left").selectExpr("c", "first", "n", "coalesce(root, c) as root")
+    named = written(named.join(shuffled(named.groupBy("root").agg(F.min("first").alias("component"))), "root").select("c", "component", "n"), "named")
     return hot_join(marked.select(key, "c"), named, ["c"], marked.count()).select(key, "component")
 
 

@@ -1,4 +1,4 @@
-from skein.llm import common
+from skein.llm import common, simhash
 
 
 def test_many_keys_are_told_apart_by_a_small_broadcast(spark):
@@ -19,3 +19,11 @@ def test_apart_takes_null_keys_and_no_keys(spark):
     assert {tuple(r) for r in maybe.collect()} >= {(None, None), (1, None)} and maybe.count() + others.count() == 4
     maybe, others = common.apart(rows, rows.where("false"), ["k", "t"])
     assert maybe.isEmpty() and others.count() == 4
+
+
+def test_probes_of_fingerprints_are_not_broadcast(spark):
+    prints = spark.range(40_000).selectExpr("xxhash64(id) as fp")
+    path = common.written(prints, "prints")  # 0.3 MB, of which 36 probes each are made
+    found = simhash.links(path, [(0xFF << 8 * k, 1) for k in range(4)], 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
