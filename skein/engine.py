@@ -97,7 +97,7 @@ class GraphEngine:
         if scope is not None:
             seen = seen.where(F.col("doc_id").isin(scope))
         asked = self.spark.createDataFrame([(1, text)], "query_id int, query string")
-        hits = se.top_k(se.bm25(seen, asked), limit, key="chunk_id")
+        hits = se.top_k(se.bm25(seen, asked, k=limit), limit, key="chunk_id")
         return hits.join(seen, "chunk_id").join(ch.text_references(seen), "chunk_id").select("rank", "chunk_id", "score", tx.snippet(F.col("chunk_text")).alias("snippet"), "evidence_id").orderBy("rank")
 
     def entities(self) -> DataFrame:

@@ -92,14 +92,14 @@ part AS (SELECT chunk_id, token, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
 lex AS (SELECT query_id, chunk_id AS id, round(sum(part), 6) AS score FROM part JOIN q USING (token) GROUP BY ALL)"""
 
 
-def _lexical(t: Tables) -> DataFrame:
+def _lexical(t: Tables, k: int) -> DataFrame:
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return se.bm25(_visible(t), asked).withColumnRenamed("chunk_id", "id")
+    return se.top_k(se.bm25(_visible(t), asked, k=k).withColumnRenamed("chunk_id", "id"), k)
 
 
 @query(f"WITH {CHUNKS}, {PARTS}, {BM25} SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM lex) x WHERE rank <= 10")
 def lexical_search(t: Tables) -> DataFrame:
-    return se.top_k(_lexical(t), 10)
+    return _lexical(t, 10)
 
 
 COS = """
@@ -151,7 +151,7 @@ def _legs(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Documents by words and by vector, for the documents behind the query vectors."""
     firsts = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(F.min("vec_id").alias("doc_id"))
     asked = firsts.join(t.documents, "doc_id").select("query_id", F.col("text").alias("query"))
-    words = se.bm25(t.documents, asked, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    words = se.bm25(t.documents, asked, "doc_id", "text", 40).withColumnRenamed("doc_id", "id")
     return se.top_k(words, 40), se.top_k(_semantic(t), 40)
 
 
@@ -184,7 +184,7 @@ def hybrid_search_scores(t: Tables) -> DataFrame:
 SELECT query_id, id, CAST(rank AS INT) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 30 THEN 0 ELSE 1 END, CASE WHEN rank <= 30 THEN char_end - char_start END DESC NULLS LAST, rank) AS INT) AS new_rank FROM r JOIN chunks ON chunk_id = id WHERE rank <= 50""")
 def reranked_passages(t: Tables) -> DataFrame:
     """The reranker of the test is the length of the passage."""
-    hits = se.top_k(_lexical(t), 50).drop("score").join(_chunks(t).select(F.col("chunk_id").alias("id"), (F.col("char_end") - F.col("char_start")).alias("size")), "id")
+    hits = _lexical(t, 50).drop("score").join(_chunks(t).select(F.col("chunk_id").alias("id"), (F.col("char_end") - F.col("char_start")).alias("size")), "id")
     return se.rerank(hits, F.col("size")).select("query_id", "id", "rank", "new_rank")
 
 
