@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,28 +61,65 @@ def search_status(failed: Column, legs: Column, hits: Column) -> Column:
 def assign(pairs: DataFrame, case: str) -> DataFrame:
     """(case, gold, found, overlap) of a one-to-one assignment in each case with the most pairs, and among those the most overlap.
 
-    pairs: (case, gold, found, overlap > 0). Shortest augmenting paths; a case's pairs are what one task takes.
+    pairs: (case, gold, found, overlap > 0). A case in which no gold and no found stands twice keeps all its pairs; the
+    others take shortest augmenting paths. Cases come in order, many at a time; a task holds a batch and one case.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        gold, found = sorted(rows["gold"].unique()), sorted(rows["found"].unique())
-        big = float(rows["overlap"].sum()) + 1
-        cost = [[0.0] * len(found) for _ in gold]
-        for r in rows.itertuples():
-            cost[gold.index(r.gold)][found.index(r.found)] = -(big + r.overlap)
-        swap = len(gold) > len(found)
-        if swap:
-            cost = [list(c) for c in zip(*cost)]
-        match = hungarian(cost)
-        out = []
-        for i, j in enumerate(match):
-            g, f = (j, i) if swap else (i, j)
-            if cost[i][j] < 0:
-                out.append((rows[case].iloc[0], gold[g], found[f], -cost[i][j] - big))
-        return pd.DataFrame(out, columns=[case, "gold", "found", "overlap"])
-
     k = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.groupBy(case).applyInPandas(one, f"{case} {k[case]}, gold {k['gold']}, found {k['found']}, overlap double")
+    rows = pairs.select(case, "gold", "found", F.col("overlap").cast("double").alias("overlap")).repartition(case).sortWithinPartitions(case, "gold", "found")
+    return rows.mapInArrow(_assigned, f"{case} {k[case]}, gold {k['gold']}, found {k['found']}, overlap double")
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before it; the first one does."""
+    codes = column.dictionary_encode("encode").indices.to_numpy()
+    return np.concatenate([[True], codes[1:] != codes[:-1]])
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(np.flatnonzero(_changes(batch.column(0)))[-1])
+        if last or held and held[-1].column(0)[-1] != batch.column(0)[0]:
+            yield from _solved(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from _solved(pa.Table.from_batches(held))
+
+
+def _solved(rows: pa.Table) -> list[pa.RecordBatch]:
+    """The assigned rows of whole cases, sorted by case, gold and found."""
+    rows = rows.combine_chunks()
+    case, gold, found = (rows.column(k).combine_chunks() for k in range(3))
+    new = _changes(case)
+    number, starts = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(new))
+    codes = found.dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+    _, which, times = np.unique(number * len(codes) + codes, return_inverse=True, return_counts=True)
+    shared = np.zeros(len(starts) - 1, dtype=bool)
+    shared[number[~_changes(gold) & ~new]] = True
+    shared[number[times[which] > 1]] = True
+    kept = [np.flatnonzero(~shared[number])]
+    for c in np.flatnonzero(shared):
+        a, b = starts[c], starts[c + 1]
+        own = zip(range(a, b), *(x.slice(a, b - a).to_pylist() for x in (gold, found)), rows.column(3).slice(a, b - a).to_pylist())
+        kept.append(np.array(_matched(list(own)), dtype=np.int64))
+    return rows.take(pa.array(np.sort(np.concatenate(kept)))).to_batches()
+
+
+def _matched(rows: list[tuple]) -> list[int]:
+    """The numbers of the assigned ones of one case's rows (number, gold, found, overlap)."""
+    ends = [sorted({r[k] for r in rows}, key=lambda x: (x is not None, x)) for k in (1, 2)]
+    gold, found = ({x: k for k, x in enumerate(e)} for e in ends)
+    big = sum(r[3] for r in rows) + 1
+    swap = len(gold) > len(found)
+    cost = [[0.0] * max(len(gold), len(found)) for _ in range(min(len(gold), len(found)))]
+    at = {}
+    for number, g, f, overlap in rows:
+        i, j = (found[f], gold[g]) if swap else (gold[g], found[f])
+        cost[i][j], at[i, j] = -(big + overlap), number
+    return [at[p] for p in enumerate(hungarian(cost)) if p in at]
 
 
 def hungarian(cost: list[list[float]]) -> list[int]:

@@ -1,8 +1,12 @@
 """Steps whose plans or rounds grew faster than their tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from skein.operators import chunks as ch
+from skein.operators import graph as gr
+from skein.operators import reports as rp
 from skein.operators import search as se
 
 
@@ -29,3 +33,48 @@ def test_lines_are_placed_without_a_shuffle(spark):
     text = docs.where("doc_id = 1").first()["text"]
     assert len(rows) == 302 and [r["position"] for r in rows] == [*range(302)] and all(text[r["char_start"] : r["char_end"]] == r["chunk_text"] for r in rows)
     assert found.where(F.col("chunk_id") == "1:1").first()["chunk_text"] == "bé"
+
+
+def least_hops(edges, starts):
+    hops, ring, n = dict.fromkeys(starts, 0), set(starts), 0
+    while ring:
+        n += 1
+        ring = {a for a, b in edges if b in ring and a not in hops}
+        hops |= dict.fromkeys(ring, n)
+    return hops
+
+
+def test_dependents_take_rounds_as_the_logarithm_of_a_chain(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(gr, "cut", lambda df, keep=gr.cut: written.append(1) or keep(df))
+    rng = random.Random(3)
+    edges = [(k + 1, k) for k in range(400)] + [(900, 901), (901, 900), (902, 901), (5, 5), (300, 2), (7, 390), (950, 951)]
+    edges += [(rng.randrange(500, 560), rng.randrange(480, 560)) for _ in range(60)] + [(480, 400), (481, 20)]
+    got = gr.reverse_dependents(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,), (120,)], "id long"))
+    assert {r["id"]: r["hop"] for r in got.collect()} == least_hops(edges, [0, 120]) and got.count() == len(least_hops(edges, [0, 120]))
+    assert len(written) < 60
+
+
+def test_assignment_takes_many_cases_at_a_time(spark):
+    rng = random.Random(5)
+    pairs = list({(c, rng.randrange(4), rng.randrange(4)): (c, g, f, float(rng.randrange(1, 4))) for c in range(400) for g, f in [(rng.randrange(4), rng.randrange(4))] * 3 + [(rng.randrange(4), rng.randrange(4)) for _ in range(c % 4)]}.values())
+    pairs = sorted({p[:3]: p for p in pairs}.values())
+    want = []
+    for case in sorted({p[0] for p in pairs}):
+        own = [p for p in pairs if p[0] == case]
+        gold, found = sorted({p[1] for p in own}), sorted({p[2] for p in own})
+        big, swap = sum(p[3] for p in own) + 1, len(gold) > len(found)
+        cost = [[0.0] * len(found) for _ in gold]
+        for _, g, f, o in own:
+            cost[gold.index(g)][found.index(f)] = -(big + o)
+        cost = [list(x) for x in zip(*cost)] if swap else cost
+        for i, j in enumerate(rp.hungarian(cost)):
+            g, f = (j, i) if swap else (i, j)
+            want += [(case, gold[g], found[f], -cost[i][j] - big)] if cost[i][j] < 0 else []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = rp.assign(spark.createDataFrame(pairs, "case int, gold int, found int, overlap double"), "case")
+        assert "FlatMapGroups" not in plan(out)
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
