@@ -120,38 +120,58 @@ def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
 
     Nodes of even and odd hash move in turn, so that pairs don't swap for ever.
     """
-    hops = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "weight").union(edges.select("dst", "src", "weight")).where("at != to").groupBy("at", "to").agg(F.sum("weight").alias("weight")))
-    labels = hops.select(F.col("at").alias("id")).distinct().withColumn("community", F.col("id"))
-    for turn in range(rounds):
-        votes = hops.join(labels.withColumnRenamed("id", "to"), "to").groupBy("at", "community").agg(F.sum("weight").alias("w"))
+    hops = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "weight").union(edges.select("dst", "src", "weight")).where("at != to").groupBy("at", "to").agg(F.sum("weight").alias("weight"))
+    hops = cut(hops.withColumn("half", F.expr("pmod(xxhash64(at), 2)")))
+    labels = cut(hops.select(F.col("at").alias("id")).distinct().withColumn("community", F.col("id")))
+    for turn in range(rounds):  # only those that move are voted for
+        votes = hops.where(F.col("half") == turn % 2).join(labels.withColumnRenamed("id", "to"), "to").groupBy("at", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy(F.col("at").alias("id")).agg(F.max_by(F.col("community"), F.struct(F.col("w"), -F.xxhash64("community"))).alias("new"))
-        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2
-        labels = cut(labels.join(best, "id", "left").select("id", F.when(moves, F.coalesce("new", "community")).otherwise(F.col("community")).alias("community")))
+        labels = cut(labels.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
     return labels
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     """One row: modularity of a partition (id, community) of an undirected weighted graph."""
-    total = edges.agg(F.sum("weight").alias("m"))
-    ends = edges.select(F.col("src").alias("id"), "weight").union(edges.select("dst", "weight")).groupBy("id").agg(F.sum("weight").alias("degree"))
-    degrees = ends.join(members, "id").groupBy("community").agg(F.sum("degree").alias("degree"))
-    both = edges.join(members.selectExpr("id as src", "community as cs"), "src").join(members.selectExpr("id as dst", "community as cd"), "dst")
-    inner = both.where("cs = cd").groupBy(F.col("cs").alias("community")).agg(F.sum("weight").alias("inner"))
+    both = edges.join(members.selectExpr("id as src", "community as cs"), "src", "left").join(members.selectExpr("id as dst", "community as cd"), "dst", "left")
+    return flow_modularity(both)
+
+
+def flow_modularity(flows: DataFrame) -> DataFrame:
+    """The same of (cs, cd, weight): weight between communities, null where an end has none. Rows of a pair may repeat."""
+    flows = cut(flows.groupBy("cs", "cd").agg(F.sum("weight").alias("weight")))
+    total = flows.agg(F.sum("weight").alias("m"))
+    degrees = flows.selectExpr("cs as community", "weight").union(flows.selectExpr("cd", "weight")).where("community is not null").groupBy("community").agg(F.sum("weight").alias("degree"))
+    inner = flows.where("cs = cd").groupBy(F.col("cs").alias("community")).agg(F.sum("weight").alias("inner"))
     parts = degrees.join(inner, "community", "left").join(F.broadcast(total))  # total: one row
     return parts.agg(F.round(F.sum(F.coalesce("inner", F.lit(0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)), 6).alias("modularity"))
 
 
 def reverse_dependents(depends_on: DataFrame, start: DataFrame) -> DataFrame:
-    """(id, hop): everything that depends on the start nodes, directly or not. depends_on: (src depends on dst).
+    """(id, hop): everything that depends on the start nodes, directly or not, and the least hops to one. depends_on: (src depends on dst).
 
-    One round a hop until nothing new is found; what was seen is written together every 16 hops, so the plan stays short.
+    A node with one dependency points along it; pointers are doubled until each leads to a start, a node with several
+    dependencies or an end, so a chain takes rounds as the logarithm of its length. Rounds of relaxation then run between
+    the nodes with several dependencies only.
     """
-    seen = frontier = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
-    hop = 0
+    seeds = cut(start.select("id").where("id is not null").distinct())
+    edges = cut(depends_on.select("src", "dst").where("src != dst").distinct().join(seeds.withColumnRenamed("id", "src"), "src", "left_anti"))
+    counted = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to"))
+    jumps = cut(counted.where("n = 1").select(F.col("src").alias("id"), "to", F.lit(1).cast("long").alias("w")))
+    size, far = jumps.count(), 1
+    ahead = lambda: jumps.selectExpr("id as to", "to as next", "w as more").hint("merge")  # noqa: E731  (as large as the graph: never broadcast)
+    while far <= size:  # longer ways than there are nodes run in a circle
+        jumps = cut(jumps.join(ahead(), "to", "left").selectExpr("id", "coalesce(next, to) as to", "w + coalesce(more, 0L) as w", "next is not null as moved"))
+        if jumps.where("moved").isEmpty():
+            break
+        far *= 2
+    jumps = jumps.select("id", "to", "w").join(jumps.selectExpr("id as to").hint("merge"), "to", "left_anti")
+    several = edges.join(counted.where("n > 1").select("src"), "src", "left_semi")
+    links = several.withColumnRenamed("dst", "to").join(jumps.selectExpr("id as to", "to as next", "w as more"), "to", "left")
+    links = cut(links.selectExpr("src", "coalesce(next, to) as to", "1 + coalesce(more, 0L) as w").groupBy("src", "to").agg(F.min("w").alias("w")))
+    known = frontier = cut(seeds.withColumn("hop", F.lit(0).cast("long")))
     while not frontier.isEmpty():
-        hop += 1
-        frontier = cut(depends_on.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        seen = seen.unionByName(frontier)
-        if hop % 16 == 0:
-            seen = cut(seen)
-    return seen
+        met = links.join(frontier.withColumnRenamed("id", "to"), "to").groupBy(F.col("src").alias("id")).agg(F.min(F.expr("hop + w")).alias("hop"))
+        frontier = cut(met.join(known.withColumnRenamed("hop", "had"), "id", "left").where("had is null or hop < had").select("id", "hop"))
+        known = cut(known.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
+    behind = jumps.join(known.withColumnRenamed("id", "to"), "to").selectExpr("id", "hop + w as hop")
+    return known.unionByName(behind).select("id", F.col("hop").cast("int").alias("hop"))
