@@ -1,5 +1,6 @@
 """Steps whose plans or rounds grew faster than their tables."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators import chunks as ch
 from skein.operators import graph as gr
 from skein.operators import reports as rp
+from skein.operators import resolve as rs
 from skein.operators import search as se
 
 
@@ -78,3 +80,61 @@ def test_assignment_takes_many_cases_at_a_time(spark):
         assert sorted(map(tuple, out.collect())) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_paths_of_seeds_with_the_same_neighbours_are_searched_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(gr, "cut", lambda df, keep=gr.cut: written.append(out := keep(df)) or out)
+    rng = random.Random(2)
+    edges = [(f"s{k}", f"n{k % 3}") for k in range(200)] + [(f"c{k}", f"n{k % 3}") for k in range(150)] + [(f"x{rng.randrange(9)}", f"x{rng.randrange(9)}") for _ in range(9)] + [("x0", "n0"), ("s1", "s4")]
+    ids = sorted({x for e in edges for x in e})
+    seeds, targets = [i for i in ids if i[0] in "sx"] + ["alone"], [i for i in ids if i[0] in "csx"]
+    named = lambda xs: spark.createDataFrame([(x,) for x in xs], "id string")
+    for direction in ("both", "out"):
+        del written[:]
+        back = edges if direction == "out" else edges + [(b, a) for a, b in edges]
+        want = {(s, t, d) for s in seeds for t, d in least_hops([(b, a) for a, b in back], [s]).items() if 0 < d <= 3 and t in targets}
+        table = spark.createDataFrame([(a, b, "E") for a, b in edges], "src string, dst string, type string")
+        got = list(map(tuple, gr.shortest_paths(table, named(seeds), named(targets), 3, direction).collect()))
+        assert len(got) == len(set(got)) and set(got) == want
+        assert sum(df.count() for df in written[2:]) < len(want) / 4 or direction == "out"
+
+
+def brute_pairs(rows):
+    """(block, a, b, cosine) by plain loops; null where a vector has a null or another length."""
+    out = []
+    for block, a, v in rows:
+        for other, b, w in rows:
+            if block is None or other != block or a is None or b is None or not a < b:
+                continue
+            bad = v is None or w is None or None in v or None in w
+            size = None if bad else math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in w))
+            cosine = None if bad or size and len(v) != len(w) else 0.0 if size == 0 else round(sum(x * y for x, y in zip(v, w)) / size, 6)
+            out.append((block, a, b, cosine))
+    return out
+
+
+def test_pairs_of_vectors_meet_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(rs, "TILE", 8)
+    monkeypatch.setattr(rs, "CELLS", 50)
+    rng = random.Random(4)
+    rows = [(k % 3 or None if k % 5 == 0 else k % 2, f"k{k:02}", [rng.choice([-1.0, 0.5, 2.0, 3.0]) for _ in range(4)]) for k in range(90)]
+    rows += [(1, "null", None), (1, "short", [1.0]), (1, "hole", [1.0, None, 2.0, 3.0]), (0, "zero", [0.0] * 4), (1, "k01", [1.0, 0.0, 0.0, 0.0]), (7, "alone", [1.0]), (1, None, [1.0])]
+    table = spark.createDataFrame(rows, "label int, id string, v array<float>")
+    want = brute_pairs(rows)
+    found = rs.vector_zones(table, "id", "v", "label")
+    assert "Join" not in plan(found).split("MapInArrow")[0]
+    assert sorted(map(repr, (tuple(r)[:4] for r in found.collect()))) == sorted(map(repr, want))
+    near = rs.vector_pairs(table, "id", "v", "label", least=0.6).where("cosine >= 0.6").collect()
+    assert sorted(map(tuple, near)) == sorted(r for r in want if r[3] is not None and r[3] >= 0.6)
+    for k in (5, 5000):
+        best = rs.best_pairs(table, "id", "v", "label", k).collect()
+        order = [sorted((r for r in want if r[0] == b), key=lambda r: (r[3] is None, -(r[3] or 0), r[1], r[2]))[:k] for b in sorted({r[0] for r in want})]
+        assert [tuple(r) for r in sorted(best, key=lambda r: (r["block"], r["rank"]))] == [(*r, n) for own in order for n, r in enumerate(own, 1)]
+
+
+def test_average_linkage_holds_scored_pairs_only():
+    size = 30_000  # a square of distances would take 7 GB
+    pairs = [(k, k + 1, 0.1 + k % 4 / 10) for k in range(size - 1)]
+    got = rs.average_linkage(size, pairs, 0.5)
+    assert got[:4] == [0, 0, 2, 2] and len(set(got)) == size // 2
