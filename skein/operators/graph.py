@@ -121,7 +121,8 @@ def community_stats(edges: DataFrame, members: DataFrame) -> tuple[DataFrame, Da
     """
     sized = members.groupBy("community").agg(F.count("*").alias("size")).where("size > 1")
     members = members.join(sized, "community", "left_semi")
-    ends = edges.join(members.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src").join(members.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
+    # members grow with the graph and pack well, so Spark takes them for small; they aren't broadcast
+    ends = edges.join(members.select(F.col("id").alias("src"), F.col("community").alias("cs")).hint("merge"), "src").join(members.select(F.col("id").alias("dst"), F.col("community").alias("cd")).hint("merge"), "dst")
     inside = ends.where("cs = cd").select(F.col("cs").alias("community"), "src", "dst", "weight")
     weights = inside.groupBy("community").agg(F.sum("weight").alias("internal_weight"))
     totals = sized.join(weights, "community", "left").withColumn("internal_weight", F.coalesce("internal_weight", F.lit(0)))

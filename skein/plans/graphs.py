@@ -98,14 +98,14 @@ inside AS (SELECT s.community, w.src, w.dst, w.weight FROM w JOIN members s ON s
 
 
 def _lines_of_brands(t: Tables) -> tuple[DataFrame, DataFrame]:
-    members = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("community"))
+    members = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("community")).hint("merge")  # grows with the parts: never broadcast
     return t.lineitem.select("l_orderkey", F.col("l_partkey").alias("id")), members
 
 
 def _co_ordered(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Pairs of parts of one brand, by the orders that hold both: only these are internal, so only these are made."""
     lines, members = _lines_of_brands(t)
-    of = lambda end: lines.join(members.distinct(), "id").withColumnRenamed("id", end)
+    of = lambda end: lines.join(members.distinct().hint("merge"), "id").withColumnRenamed("id", end)
     pairs = of("src").join(of("dst"), ["l_orderkey", "community"]).where("src < dst").groupBy("community", "src", "dst").agg(F.count("*").alias("weight"))
     return pairs.select("src", "dst", "weight").dropDuplicates(["src", "dst"]), members
 

@@ -10,6 +10,9 @@ from skein.operators import graph as gr
 from skein.operators import reports as rp
 from skein.operators import resolve as rs
 from skein.operators import search as se
+from skein.plans import graphs
+from skein.plans.registry import Tables
+from tests.conftest import DATA
 
 
 def plan(df):
@@ -138,3 +141,18 @@ def test_average_linkage_holds_scored_pairs_only():
     pairs = [(k, k + 1, 0.1 + k % 4 / 10) for k in range(size - 1)]
     got = rs.average_linkage(size, pairs, 0.5)
     assert got[:4] == [0, 0, 2, 2] and len(set(got)) == size // 2
+
+
+def test_only_internal_pairs_are_made_of_co_ordered_parts(spark):
+    t = Tables(spark, f"{DATA}/sf0.001")
+    edges, members = graphs._co_ordered(t)
+    brand = {r["id"]: r["community"] for r in members.collect()}
+    found = edges.collect()
+    assert found and all(brand[r["src"]] == brand[r["dst"]] for r in found)
+    assert "SortMergeJoin" in plan(edges)  # with the members, of which a copy in each task would grow
+
+
+def test_modularity_counts_ends_without_a_community(spark):
+    edges = spark.createDataFrame([(1, 2, 3), (2, 3, 1), (3, 4, 2), (4, 9, 4)], "src int, dst int, weight int")
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "id int, community string")
+    assert gr.modularity(edges, members).first()[0] == round(3 / 10 - (7 / 20) ** 2 + 2 / 10 - (9 / 20) ** 2, 6)
